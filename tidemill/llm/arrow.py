@@ -32,10 +32,11 @@ def map_texts(
     keep: list[str],
     added: T.StructType,
     start: Callable[[], Callable[[list[str | None]], list[Iterable]]],
+    as_bytes: bool = False,
 ) -> DataFrame:
     """``keep`` columns of every row, followed by ``added`` ones made from its whole text.
 
-    ``start`` runs once a task and gives a function from a list of texts to a list of columns.
+    ``start`` runs once a task and gives a function from a list of texts (or their UTF-8 bytes) to a list of columns.
     Columns of ``df`` that are not named take no part, so that their names can't clash.
     """
     clash = set(keep) & set(added.fieldNames())
@@ -53,7 +54,8 @@ def map_texts(
                 if not batch.num_rows:
                     continue
                 fn = fn or start()
-                columns = fn(batch.column(at).to_pylist())
+                texts = batch.column(at)
+                columns = fn((texts.cast(pa.binary()) if as_bytes else texts).to_pylist())
                 arrays = [batch.column(i) for i in kept]
                 arrays += [pa.array(c, type=f.type) for c, f in zip(columns, list(out)[len(kept):], strict=True)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, out, strict=True)], schema=out)

@@ -87,10 +87,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = 1024, id_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 256):
-                encoded = tokenizer(path).encode(texts.slice(at, 256).to_pylist())
+            for at in range(0, len(names), 1024):
+                encoded = tokenizer(path).encode(texts.slice(at, 1024))
                 rows: list[list] = [[] for _ in schema]
-                for name, ids in zip(names[at : at + 256], encoded, strict=True):
+                for name, ids in zip(names[at : at + 1024], encoded, strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, size):

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import shared_path
-from . import packing, wavelet
+from . import licenses, mixing, packing, simhash, topk, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = wavelet.index_documents(docs, shared_path(spark, "wavelet"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -24,8 +38,49 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, keep_ids=False)
 
 
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op4_simhash": op4_simhash,
+    "op5_exact_topk": op5_exact_topk,
     "op7_token_index": op7_token_index,
     "op9_packing": op9_packing,
+    "op10_poisson_mixing": op10_poisson_mixing,
+}
+
+
+def _license_sql() -> str:
+    joined = "' ' || array_to_string(w, ' ') || ' '"
+    phrases = [(p.split(), label) for p, label in licenses.PHRASES.items()]
+    at = " or ".join(f"w[i + 1 : i + {len(p)}] = {p!r}" for p, _ in phrases)
+    base = ", ".join(f"case when contains(s, ' {' '.join(p)} ') then '{label}' end" for p, label in phrases)
+    rules = [(label, licenses.as_regex(t), len(licenses.Automaton.compile(label, t).mandatory)) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    own = ", ".join(f"case when regexp_matches(s, ' {r}') then '{label}' end" for label, r, _ in rules)
+    best = [f"case when contains(s, ' {' '.join(p)} ') then {len(p)} else 0 end" for p, _ in phrases] + [f"case when regexp_matches(s, ' {r}') then {m} else 0 end" for _, r, m in rules]
+    clean = "array_to_string(list_sort(list_distinct([x for x in [{}] if x is not null])), ',')"
+    return f"""
+with tokens as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+lines as (select doc_id, w, {joined} as s from tokens),
+found as (select doc_id, w, s, [i for i in range(len(w)) if {at}] as p from lines),
+scored as (select *, greatest({", ".join(best)}) as m from found)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(p) as bigint) as n_base, list_min(p) as first_word, list_max(p) as last_word,
+  {clean.format(base)} as base_labels, {clean.format(base + ", " + own)} as labels, case when m = 0 then 0.0::double else m::double / (m + 4) end as score
+from scored
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op5_exact_topk": """
+with v as (select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as w from embeddings
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum([q.w[i] * c.w[i] for i in range(1, len(q.w) + 1)]) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.w) = len(c.w)),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
+""",
+    "op10_poisson_mixing": mixing.sql(),
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -1,10 +1,11 @@
 """Token ids of whole texts by a ``tokenizers`` file, word by word through a bounded store.
 
-Both kinds of file here cut a text between a visible character and white space, so what stands
-between two such places gets the same ids alone as in the text. Frequent words are looked up;
-the library encodes the rest in batches. Texts in which that rule could fail (they hold a
-string of an added token, or a separator of the range U+001C to U+001F, on which the two
-notions of white space differ) are given to the library whole.
+Both kinds of file here cut a text between a visible character and white space, after a line
+feed, and between a letter and an ASCII character that is none. What stands between two such
+places gets the same ids alone as in the text. Arrow cuts the texts and finds the distinct
+pieces of a batch, a store has the ids of frequent ones, and the library encodes the rest. Texts
+in which that rule could fail (control characters, strings of added tokens, white space other
+than single spaces and line feeds) are cut at white space only, or given to the library whole.
 """
 
 from __future__ import annotations
@@ -14,36 +15,40 @@ import os
 import re
 
 import numpy as np
-
-_ODD = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile(r"[ \n][ \n]|[^\S \n]|\A[ \n]|[ \n]\Z")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_SPACES = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_CONTROL = r"[\x00-\x09\x0b-\x1f\x7f" + _SPACES + "]"
+_GAPS = r"[ \n][ \n]|\A[ \n]|[ \n]\z"
+_LETTER_END = r"(\p{L})([!-@\[-`{-~])"
+_UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 _RUNS = re.compile(r"\s*\S+|\s+")
-_PARTS = re.compile(r"(\n?)( ?\w+)([.,;:!?*#$%&|()]*)")
-STORE = 150_000
+STORE = 400_000
+SLICE_BYTES = 4_000_000
+
+_loaded: dict[str, "WordTokenizer"] = {}
 
 
-class Store(dict):
+class Store:
     """A bounded store of two generations: what is used moves to the young one, and the old one goes when that is full."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.old[key]
-        return value
-
-    def turn(self) -> None:
-        """Called where nothing that was looked for is still needed."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def missing(self, keys: set[str]) -> set[str]:
-        return keys.difference(self).difference(self.old)
-
-
-_loaded: dict[str, "WordTokenizer"] = {}
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def values(self, keys: list[str], make) -> list[bytes]:
+        """The value of each key; ``make`` gives those of a list of unknown keys."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, keys))
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            old = list(map(self.old.get, [keys[i] for i in missing]))
+            fresh = [keys[i] for i, v in zip(missing, old, strict=True) if v is None]
+            made = iter(make(fresh) if fresh else ())
+            for i, v in zip(missing, old, strict=True):
+                found[i] = self.young[keys[i]] = next(made) if v is None else v
+        return found
 
 
 class WordTokenizer:
@@ -58,50 +63,62 @@ class WordTokenizer:
             spec = json.load(f)
         # byte-level files keep white space; files that mark ends of words drop it
         self.keeps_space = spec["model"].get("end_of_word_suffix") in (None, "")
-        self.added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(self.added)) if self.added else None
-        self.runs, self.words = Store(STORE), Store(STORE)
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.store = Store(STORE)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def cut(self, text: str) -> list[str] | None:
-        """The runs of a text, or nothing if only the library may take it."""
-        if _ODD.search(text) or (self.special and self.special.search(text)):
-            return None
-        if not self.keeps_space:
-            return text.split()
-        if not text or _PLAIN.search(text):
-            return _RUNS.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[0] == "\n" else " " + w for w in rest]]
-
-    def learn(self, runs: set[str]) -> None:
-        parts, unknown = {}, set()
-        for run in runs:
-            m = _PARTS.fullmatch(run)
-            parts[run] = p = (m[1], m[2], m[3]) if m and m[2].lstrip(" ").isalpha() else (run,)
-            unknown.update(p)
-        todo = list(self.words.missing(unknown))
-        self.words.update(zip(todo, self.whole(todo), strict=True))
-        words = self.words
-        self.runs.update((run, b"".join([words[w] for w in p])) for run, p in parts.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            self.runs.turn()
-            self.words.turn()
-            cuts = [self.cut(t or "") for t in texts[at : at + 256]]
-            missing = self.runs.missing(set().union(*(c for c in cuts if c)))
-            if missing:
-                self.learn(missing)
-            get = self.runs.__getitem__
-            for text, c in zip(texts[at : at + 256], cuts, strict=True):
-                out.append(self.whole([text])[0] if c is None else b"".join(map(get, c)))
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts the rule for letters and single spaces can't be used on."""
+        marks = pc.match_substring_regex(texts, _CONTROL + (f"|{_GAPS}" if self.keeps_space else ""))
+        for x in self.added:
+            marks = pc.or_(marks, pc.match_substring(texts, x))
+        return marks.to_numpy(zero_copy_only=False)
+
+    def one(self, text: str) -> bytes:
+        """A text of any kind."""
+        if not text:
+            return b""
+        if _UNSAFE.search(text) or any(x in text for x in self.added):
+            return self.whole([text])[0]
+        return b"".join(self.store.values(_RUNS.findall(text) if self.keeps_space else text.split(), self.whole))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = self.odd(texts)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.one(texts[i].as_py())
+        plain = np.flatnonzero(~odd)
+        sizes = pc.binary_length(texts).to_numpy()[plain]
+        group = np.cumsum(sizes) // SLICE_BYTES
+        for part in np.split(plain, np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                for i, ids in zip(part.tolist(), self.plain(texts.take(pa.array(part))), strict=True):
+                    out[i] = ids
         return out
 
+    def plain(self, texts: pa.Array) -> list[bytes]:
+        cut = pc.replace_substring(texts, " ", "\x01 " if self.keeps_space else "\x01")
+        cut = pc.replace_substring(cut, "\n", "\x01\n\x01" if self.keeps_space else "\x01")
+        cut = pc.split_pattern(pc.replace_substring_regex(cut, _LETTER_END, "\\1\x01\\2"), "\x01")
+        words = cut.flatten().dictionary_encode()
+        ids = self.store.values(words.dictionary.to_pylist(), self.whole)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(lengths) - lengths
+        at = words.indices.to_numpy()
+        counts = lengths[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = flat[np.repeat(firsts[at] - (ends - counts), counts) + np.arange(total)].tobytes()
+        bounds = 4 * np.concatenate(([0], ends))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        bounds = bounds.tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
 
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer a process and file."""

@@ -232,8 +232,8 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
 
         for batch in batches:
             some, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(some), 256):
-                for name, ids in zip(some[at : at + 256], tokenizer(path).encode(texts.slice(at, 256).to_pylist()), strict=True):
+            for at in range(0, len(some), 1024):
+                for name, ids in zip(some[at : at + 1024], tokenizer(path).encode(texts.slice(at, 1024)), strict=True):
                     names.append(name)
                     held.append(ids + end)
                     n_held += len(ids) // 4 + 1
