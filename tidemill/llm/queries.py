@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import shared_path
-from . import licenses, mixing, packing, simhash, topk, wavelet
+from . import cotraining, hostrules, langid, licenses, mixing, packing, pii, simhash, topk, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+
+
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hostrules.judge(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,12 +38,23 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out()), "text", "lang", "doc_id")
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = wavelet.index_documents(docs, shared_path(spark, "wavelet"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs), ["doc_id"])
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, keep_ids=False)
@@ -44,9 +66,13 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_cotraining": op2_cotraining,
+    "op3_host_rules": op3_host_rules,
     "op4_simhash": op4_simhash,
     "op5_exact_topk": op5_exact_topk,
+    "op6_language_id": op6_language_id,
     "op7_token_index": op7_token_index,
+    "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
@@ -74,6 +100,7 @@ from scored
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
+    "op3_host_rules": hostrules.SQL,
     "op5_exact_topk": """
 with v as (select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as w from embeddings
   where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
