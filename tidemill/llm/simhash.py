@@ -159,7 +159,9 @@ def _forest(values: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]])
             up = parent[x]
             if (up == x).all():
                 return x
-            x = parent[x] = parent[up]
+            high = parent[up]
+            parent[x] = high
+            x = high
 
     for i, j in pairs:
         while True:
