@@ -1,0 +1,63 @@
+import json
+
+import pytest
+
+from tidemill import cli
+from tidemill.operators import checks, matrix
+from tidemill.sources import matrices, texts
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 16, 104])
+def test_schedules(spark, k):
+    own = checks.block_schedule(spark, k)
+    r = checks.schedule_checks(own).first()
+    assert (r.n_rounds, r.min_covered, r.max_covered, r.n_pairs, r.n_distinct_pairs) == (2 * k - 1, 2 * k, 2 * k, (2 * k - 1) * k, (2 * k - 1) * k)
+
+
+@pytest.mark.parametrize("k", [2, 3, 16, 104])
+def test_exchange_plans_keep_one_block(k):
+    m, held = 2 * k - 1, None
+    for r, turn in enumerate(checks.exchange_plan(k)):
+        held = held or [{m, 0}] + [{i % m, -i % m} for i in range(1, k)]
+        assert all(len(own & set(pair)) == 1 and pair[0] in own for own, pair in zip(held, turn))
+        assert sorted(b for p in turn for b in p) == list(range(2 * k))
+        held = [set(p) for p in turn]
+
+
+def test_matrix_text_round_trip_and_product(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("3 2\n1 2 3\n4 5 6.5\n")
+    rows = matrices.read_matrix(spark, str(tmp_path / "m.txt"))
+    assert {r.row_id: r["values"] for r in rows.collect()} == {0: [1, 2], 1: [3, 4], 2: [5, 6.5]}
+    want = {(i, j): sum(a * b for a, b in zip(x, y)) for i, x in enumerate([[1, 2], [3, 4], [5, 6.5]]) for j, y in enumerate([[1, 2], [3, 4], [5, 6.5]])}
+    for size in (1, 2, 5):
+        assert {(r.i, r.j): r.v for r in matrix.gram(rows, size).collect()} == want
+    matrices.write_matrix(rows, str(tmp_path / "out"), 2)
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["3 2", "1 2", "3 4", "5 6.5"]
+    assert matrix.cell(rows, 2, 1) == 6.5
+    with pytest.raises(IndexError):
+        matrix.cell(rows, 0, 2)
+    (tmp_path / "bad.txt").write_text("2 2 1 2 3")
+    with pytest.raises(ValueError, match="names"):
+        matrices.read_matrix(spark, str(tmp_path / "bad.txt"))
+
+
+def test_configuration_and_command_line(spark, tmp_path):
+    assert texts.parse_pairs(["a=b=c", "# x", "", "alone"]) == {"a": "b=c", "alone": "alone"}
+    assert texts.addresses("h:1,h:2,") == ["h:1", "h:2"]
+    (tmp_path / "g.txt").write_text("3\n0 1\n1 2")
+    (tmp_path / "c.conf").write_text(f"app.name=shortestpath\napp.input_dir={tmp_path}\napp.output_dir={tmp_path}\napp.graph_file=g.txt\napp.iterations=5\n")
+    cli.run(spark, str(tmp_path / "c.conf"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "shortest_path")).collect()] == ["0 0.0", "1 1.0", "2 2.0"]
+
+
+def test_traces_metrics_and_comparison(spark, tmp_path):
+    lines = spark.createDataFrame([("noise",), ("t [Tracing] {'name': 'a', 'ts': '2', 'dur': 5}",), ("[Tracing] {'name': 'b', 'ts': '1', 'dur': '7', 'args': {'worker': '1'}}",)], "value string")
+    events = texts.trace_events(lines)
+    assert sorted((r.name, r.dur) for r in events.collect()) == [("a", "5"), ("b", "7")]
+    assert [e["name"] for e in json.loads(texts.trace_file(events).first().value)["traceEvents"]] == ["b", "a"]
+    own = checks.metric_summary(spark.createDataFrame([("x", v) for v in (1.0, 2.0, 3.0, 6.0)], "event string, value double"))
+    r = own.first()
+    assert (r.n, r.sum_ms, r.mean_ms, r.median_ms, round(r.stddev_ms, 6)) == (4, 12, 3, 2.5, 1.870829)
+    texts.write_metrics(own, str(tmp_path / "m"))
+    a, b = (spark.createDataFrame(x, "id long, value double") for x in ([(1, 1.0), (2, 2.0)], [(1, 1.05), (3, 1.0)]))
+    assert sorted(r.id for r in checks.compare(a, b, 0.1).collect()) == [2, 3]
