@@ -64,7 +64,7 @@ class Model:
         return self.unseen(word) if at is None else self.words[at]
 
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 60_000) -> Model:
+def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int = 20_000, max_words: int = 20_000, max_grams: int = 20_000) -> Model:
     """A model of the rows with a text and a language.
 
     It is fitted on a sample of about ``max_docs`` of them, chosen by a hash of the id, and keeps the
@@ -132,11 +132,10 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: in
 
 
 def predictor(model: Model, limit: int = 200_000) -> Callable[[list[str | None]], list[list]]:
-    kept: dict[str, np.ndarray] = {}
+    kept: dict[str, int] = {}
+    stored = np.zeros((limit, len(model.languages)), np.float32)
 
     def predict(texts: list[str | None]) -> list[list]:
-        if len(kept) > limit:
-            kept.clear()
         lists = split_words(pa.array(texts, pa.string()))
         coded = lists.flatten().dictionary_encode()
         n_langs = len(model.languages)
@@ -144,10 +143,13 @@ def predictor(model: Model, limit: int = 200_000) -> Callable[[list[str | None]]
         real = np.zeros(len(rows), bool)
         for i, word in enumerate(coded.dictionary.to_pylist()):
             if word and n_langs:
-                score = kept.get(word)
-                if score is None:
-                    score = kept[word] = model.score(word)
-                rows[i], real[i] = score, True
+                row = kept.get(word)
+                if row is None:
+                    if len(kept) == limit:
+                        kept.clear()
+                    row = kept[word] = len(kept)
+                    stored[row] = model.score(word)
+                rows[i], real[i] = stored[row], True
         at = coded.indices.to_numpy()
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         scores = np.concatenate((np.zeros((1, n_langs)), np.cumsum(rows[at], axis=0)))
