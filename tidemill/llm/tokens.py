@@ -24,7 +24,7 @@ _GAPS = r"[ \n][ \n]|\A[ \n]|[ \n]\z"
 _LETTER_END = r"(\p{L})([!-@\[-`{-~])"
 _UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 _RUNS = re.compile(r"\s*\S+|\s+")
-STORE = 400_000
+STORE = 300_000
 SLICE_BYTES = 4_000_000
 
 _loaded: dict[str, "WordTokenizer"] = {}
