@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows or about 8 MB in this session, where it has Spark's defaults; values of its own stay.
+
+    A batch stands in the JVM's buffers, in the pipe and in the Python worker at once, and rows are
+    whole texts. Spark reads the setting when a plan runs, so it must outlast the call.
+    """
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default).upper() in (default, default + "B"):
+            spark.conf.set(key, own)
+
+
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold about ``limit`` bytes of text; one longer row is a run of its own."""
     lengths, start, held = batch.column(text_at).nbytes, 0, 0
@@ -60,4 +74,5 @@ def map_texts(
                 arrays += [pa.array(c, type=f.type) for c, f in zip(columns, list(out)[len(kept):], strict=True)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, out, strict=True)], schema=out)
 
+    bound_batches(df.sparkSession)
     return df.select(*names).mapInArrow(work, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_texts
+from .arrow import bound_batches, map_texts
 
 LONGEST = 4
 UNKNOWN = "und"
@@ -97,6 +97,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: in
                     counts[lang, g] += k
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "item", "n"])
 
+    bound_batches(docs.sparkSession)
     shape = "lang string, item string, n long"
     words = sample.mapInArrow(words_of, shape).groupBy("lang", "item").agg(F.sum("n").alias("n")).persist()
     try:

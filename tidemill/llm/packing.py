@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import ceil_div
+from .arrow import bound_batches
 from .tokens import tokenizer
 
 SHARD_BITS = 36
@@ -99,6 +100,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = 1024, id_col: st
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, out, strict=True)], schema=out)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_texts
+from .arrow import bound_batches, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -231,6 +231,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
                 seen.update(f"{a.label},{b.label}" for a, b in zip(found, found[1:]) if b.start - a.end <= 40)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
+    bound_batches(docs.sparkSession)
     counts: dict[tuple, np.ndarray] = {}
     chain = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
     for r in rows.mapInArrow(count, shape).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect():
