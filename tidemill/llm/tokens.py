@@ -27,7 +27,7 @@ _RUNS = re.compile(r"\s*\S+|\s+")
 STORE = 300_000
 SLICE_BYTES = 4_000_000
 
-_loaded: dict[str, "WordTokenizer"] = {}
+_loaded: dict[tuple[str, int], "WordTokenizer"] = {}
 
 
 class Store:
@@ -54,7 +54,7 @@ class Store:
 class WordTokenizer:
     """``encode(texts)`` gives for each text the little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, store: int = STORE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,7 +64,7 @@ class WordTokenizer:
         # byte-level files keep white space; files that mark ends of words drop it
         self.keeps_space = spec["model"].get("end_of_word_suffix") in (None, "")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.store = Store(STORE)
+        self.store = Store(store)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -120,8 +120,8 @@ class WordTokenizer:
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer a process and file."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def tokenizer(path: str, store: int = STORE) -> WordTokenizer:
+    """One tokenizer a process, file and size of the store, whose two generations hold ``store`` pieces each."""
+    if (path, store) not in _loaded:
+        _loaded[path, store] = WordTokenizer(path, store)
+    return _loaded[path, store]

@@ -234,7 +234,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
         for batch in batches:
             some, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(some), 1024):
-                for name, ids in zip(some[at : at + 1024], tokenizer(path).encode(texts.slice(at, 1024)), strict=True):
+                for name, ids in zip(some[at : at + 1024], tokenizer(path, STORE).encode(texts.slice(at, 1024)), strict=True):
                     names.append(name)
                     held.append(ids + end)
                     n_held += len(ids) // 4 + 1
@@ -249,6 +249,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
 
 
 _NULL_ID = -(2**63)
+STORE = 400_000  # pieces whose ids a worker remembers, in each of two generations
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
