@@ -28,3 +28,15 @@ def test_a_full_store_changes_nothing():
     a.store.limit = 2
     for _ in range(3):
         assert a.encode(TEXTS) == b.encode(TEXTS)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_joined_pieces_have_the_ids_of_single_ones(name):
+    own = WordTokenizer(public_tokenizers.path(name))
+    texts = ["", " a", "a<|", "<|endoftext", "|>b", "̸x", "é", "\n", "don't", "", "日本", " 12", "x" * 3000, ">", "<", ""]
+    for k in range(40):
+        some = (texts[k % 16 :] + texts[: k % 16]) * (1 + k % 20)
+        assert own.pieces(some) == own.whole(some)
+    assert own.pieces([]) == []
+    own.mark = None
+    assert own.pieces(texts) == own.whole(texts)

@@ -26,6 +26,7 @@ _UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 _RUNS = re.compile(r"\s*\S+|\s+")
 STORE = 300_000
 SLICE_BYTES = 4_000_000
+JOINED = 256  # pieces that the library gets as one text
 
 _loaded: dict[tuple[str, int], "WordTokenizer"] = {}
 
@@ -64,12 +65,31 @@ class WordTokenizer:
         # byte-level files keep white space; files that mark ends of words drop it
         self.keeps_space = spec["model"].get("end_of_word_suffix") in (None, "")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        plain = ("single_word", "lstrip", "rstrip", "normalized")
+        self.mark = next(((x["content"], x["id"]) for x in spec.get("added_tokens", []) if not any(x.get(k) for k in plain)), None)
         self.store = Store(store)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of many short texts without added tokens: one of these stands between each two, where the library cuts first."""
+        if self.mark is None:
+            return self.whole(texts)
+        mark, mark_id = self.mark
+        groups = [texts[i : i + JOINED] for i in range(0, len(texts), JOINED)]
+        out: list[bytes] = []
+        for own, found in zip(groups, self.library.encode_batch_fast([mark.join(x) for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            at = (4 * np.flatnonzero(ids == mark_id)).tolist()
+            if len(at) != len(own) - 1:  # a mark that is more than a mark
+                out += self.whole(own)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(raw)], strict=True)]
+        return out
+
     def odd(self, texts: pa.Array) -> np.ndarray:
         """Which texts the rule for letters and single spaces can't be used on."""
         marks = pc.match_substring_regex(texts, _CONTROL + (f"|{_GAPS}" if self.keeps_space else ""))
@@ -83,7 +103,7 @@ class WordTokenizer:
             return b""
         if _UNSAFE.search(text) or any(x in text for x in self.added):
             return self.whole([text])[0]
-        return b"".join(self.store.values(_RUNS.findall(text) if self.keeps_space else text.split(), self.whole))
+        return b"".join(self.store.values(_RUNS.findall(text) if self.keeps_space else text.split(), self.pieces))
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -106,7 +126,7 @@ class WordTokenizer:
         cut = pc.replace_substring(cut, "\n", "\x01\n\x01" if self.keeps_space else "\x01")
         cut = pc.split_pattern(pc.replace_substring_regex(cut, _LETTER_END, "\\1\x01\\2"), "\x01")
         words = cut.flatten().dictionary_encode()
-        ids = self.store.values(words.dictionary.to_pylist(), self.whole)
+        ids = self.store.values(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces)
         flat = np.frombuffer(b"".join(ids), "<u4")
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         firsts = np.cumsum(lengths) - lengths

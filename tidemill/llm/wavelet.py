@@ -51,16 +51,20 @@ def build(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes
     head["doc_ids"], head["lengths"] = put(np.asarray(doc_ids, "<i8").tobytes()), put(np.asarray(lengths, "<u8").tobytes())
     current, planes = tokens.astype(np.uint16 if bits <= 16 else np.uint32), []
     for k in range(bits - 1, -1, -1):
-        one = (current >> k & 1).astype(bool)
-        packed = np.packbits(one)
-        blocks, before, ranks = [], 0, []
-        for b in range(0, len(packed), BLOCK_BITS // 8):
-            raw = packed[b : b + BLOCK_BITS // 8]
-            ranks.append(before)
-            before += int(_POPCOUNT[raw].sum(dtype=np.int64))
-            blocks.append(put(raw.tobytes()))
-        planes.append({"ones": before, "blocks": blocks, "ranks": ranks})
-        current = np.concatenate((current[~one], current[one]))
+        after, blocks, ranks = np.empty_like(current), [], []
+        ones, low = 0, 0
+        zeros = n - int(np.count_nonzero(current & current.dtype.type(1 << k)))
+        for at_bit in range(0, n, BLOCK_BITS):  # block by block, so that places are few and stay in the cache
+            piece = current[at_bit : at_bit + BLOCK_BITS]
+            one = (piece >> k & 1).astype(bool)
+            ranks.append(ones)
+            blocks.append(put(np.packbits(one).tobytes()))
+            clear, is_set = np.flatnonzero(~one), np.flatnonzero(one)
+            after[low : low + len(clear)] = piece.take(clear)
+            after[zeros + ones : zeros + ones + len(is_set)] = piece.take(is_set)
+            low, ones = low + len(clear), ones + len(is_set)
+        planes.append({"ones": ones, "blocks": blocks, "ranks": ranks})
+        current = after
     head["planes"] = planes
     body = b"".join(parts)
     head["crc32"] = zlib.crc32(body)
@@ -181,11 +185,15 @@ class WaveletMatrix:
         """All tokens, by undoing the planes' partitions from the lowest bit up."""
         current = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
-            raw = b"".join(self.part(x) for x in self.planes[p]["blocks"])
-            one = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool) if self.n else np.zeros(0, bool)
-            z, before = self.n - self.planes[p]["ones"], np.empty_like(current)
-            before[~one] = current[:z]
-            before[one] = current[z:] | current.dtype.type(1 << (self.bits - 1 - p))
+            low, high, before = 0, self.n - self.planes[p]["ones"], np.empty_like(current)
+            bit = current.dtype.type(1 << (self.bits - 1 - p))
+            for b, place in enumerate(self.planes[p]["blocks"]):
+                piece = before[b * self.block : (b + 1) * self.block]
+                one = np.unpackbits(np.frombuffer(self.part(place), np.uint8), count=len(piece)).view(bool)
+                clear, is_set = np.flatnonzero(~one), np.flatnonzero(one)
+                piece[clear] = current[low : low + len(clear)]
+                piece[is_set] = current[high : high + len(is_set)] | bit
+                low, high = low + len(clear), high + len(is_set)
             current = before
         return current
 
