@@ -176,7 +176,7 @@ def _forest(values: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]])
     return values[linked], values[all_roots[linked]]
 
 
-def links(distinct: DataFrame, budget: int, tile: int = 32_768) -> DataFrame:
+def links(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints (column fp) which chains of links connect.
 
     Bits go from the evenest down, so that the trie branches early. Fingerprints are dealt by their
