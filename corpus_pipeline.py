@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import langid, mixing, packing, pii, simhash
+from tidemill.llm import langid, mixing, packing, pii, resemblance
 from tidemill.runtime import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.3
-NEAR_BITS = 6  # of 64; pairs of a similarity near 0.8 differ in about ten bits, and each bit more makes the trie join dearer
+NEAR_SIMILARITY = 0.8  # of the sets of five-word shingles
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group; rows without an id stay, and of rows of equal id one does."""
     docs = docs.select(*COLUMNS)
-    named = simhash.near_duplicates(docs, width=5, budget=NEAR_BITS)
+    named = resemblance.near_duplicates(docs, width=5, least=NEAR_SIMILARITY)
     extra = named.filter("id is not null and id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.filter("doc_id is not null").join(extra, "doc_id", "left_anti")
     return kept.dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.filter("doc_id is null"))
