@@ -211,6 +211,19 @@ def test_personal_data(docs, none):
     assert masked[1] == "Released under the MIT License. call <PHONE> or <PHONE> <EMAIL>" and masked[2] is None
 
 
+@pytest.mark.parametrize("full", [0, 17, 39])
+@pytest.mark.parametrize("against", [0.0, 1.0, 2.0])
+def test_all_repeats_of_a_number_are_found(full, against):
+    field = pii.Field(np.zeros((20, 5)), np.zeros((5, 5)))
+    field.weights[0, 0] = against  # log odds of no label
+    parts = ["717-555-0202 as said in the letter of the other day, and so on"] * 40
+    parts[full] = "+1 (717) 555-0202 as said in the letter of the other day, and so on"
+    text = " ".join(parts)
+    base, spans = pii.all_spans(text, field)
+    assert len(base) == 1 and len(spans) == 40
+    assert pii.mask(text, spans).count("<PHONE>") == 40
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="a1.@+-4 256()é%", max_size=60))
 def test_base_scan_is_the_plain_one(text):

@@ -3,8 +3,8 @@
 A base scan finds e-mail addresses, IP addresses, card and phone numbers by pattern. Each unit of
 a document (a run of digits and separators, or a word with an at sign) is then a variable with a
 label: none, or a kind. Units next to each other share a chain potential, units of equal or similar
-content anywhere in the document a skip potential, and loopy message passing gives each unit's
-marginal. Units in base spans are evidence. What the marginals find beyond them is added, such as a
+content anywhere in the document a skip potential (each with the one before it, and with the nearest
+evidence on both sides), and loopy message passing until it settles gives each unit's marginal. Units in base spans are evidence. What the marginals find beyond them is added, such as a
 phone number that is written in full once and without its prefix elsewhere.
 """
 
@@ -148,7 +148,8 @@ class Field:
     same: float = 6.0
     similar: float = 4.0
 
-    def marginals(self, found: list[Unit], text: str, rounds: int = 8) -> np.ndarray:
+    def marginals(self, found: list[Unit], text: str, rounds: int = 1000, least: float = 1e-7) -> np.ndarray:
+        """Label probabilities of each unit, once no message changes by more than ``least`` (or after ``rounds``)."""
         n, k = len(found), len(KINDS) + 1
         shapes = list({u.shape for u in found})
         table = np.stack([features(s) for s in shapes]) @ self.weights
@@ -169,6 +170,16 @@ class Field:
                     linked.add((j, i))
                     pairs.append((j, i, 1 if key[0] in ("whole", "digits") else 2))
                 last[key] = i
+        for step in (range(n), range(n - 1, -1, -1)):  # and to the evidence before and after it, however many repeats lie between
+            known: dict[tuple, int] = {}
+            for i in step:
+                for key in found[i].keys:
+                    j = known.get(key)
+                    if found[i].label:
+                        known[key] = i
+                    elif j is not None and (min(i, j), max(i, j)) not in linked:
+                        linked.add((min(i, j), max(i, j)))
+                        pairs.append((min(i, j), max(i, j), 1 if key[0] in ("whole", "digits") else 2))
         if pairs:
             a, b, kind = np.array(pairs).T
             agree = np.eye(k)
@@ -185,7 +196,10 @@ class Field:
                 send = np.exp(send - send.max(axis=1, keepdims=True))
                 fresh = np.log(np.einsum("ei,eij->ej", send, psi) + 1e-300)
                 fresh -= fresh.max(axis=1, keepdims=True)
+                change = np.abs(fresh - messages).max()
                 messages = 0.5 * messages + 0.5 * fresh
+                if change < least:
+                    break
             np.add.at(local, target, messages)
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
