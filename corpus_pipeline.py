@@ -27,12 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group; rows without an id stay, and of rows of equal id one does."""
+    """Keeps one row of each group: that of the smallest id, a null id last, and of several texts of that id the one of the smallest node."""
     docs = docs.select(*COLUMNS)
-    named = resemblance.near_duplicates(docs, width=5, least=NEAR_SIMILARITY)
-    extra = named.filter("id is not null and id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.filter("doc_id is not null").join(extra, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.filter("doc_id is null"))
+    named = resemblance.near_duplicates(docs, width=5, least=NEAR_SIMILARITY).select("root", "id", "node").distinct()
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
+    extra = named.join(first, "root").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))).select("id", F.col("node").alias("of"))
+    rows = resemblance.with_nodes(docs, COLUMNS)
+    kept = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("of")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "node"]).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

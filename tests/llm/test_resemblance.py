@@ -38,3 +38,11 @@ def test_every_pair_of_a_similarity_of_0_8_is_found(spark, monkeypatch):
         monkeypatch.setattr(resemblance, "TILE", tile)
         assert {r.id: r.component_id for r in resemblance.near_duplicates(own).collect()} == dict(enumerate(root))
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, own, "").collect()} == set(root)
+
+
+def test_rows_of_repeated_and_null_ids_go_by_their_text(spark):
+    one, two, three, four = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcd")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, four), (None, three), (None, "none"), (None, "none"), (4, None), (None, "")]
+    own = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, own, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (2, two), (3, three), (3, four), (None, "none"), (4, None)], key=str)

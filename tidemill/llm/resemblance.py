@@ -148,10 +148,10 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, least: float, text_col:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, node, component_id of every row: the smallest id that chains of links reach from it, itself included.
+    """id, node, root, component_id of every row: the smallest id that chains of links reach from it, itself included.
 
     Texts link at a Jaccard similarity of ``least`` or more of their distinct shingles. Texts of
-    equal words are one node, null and empty ones too. An id is null only where all of its component are.
+    equal words are one node, null and empty ones too, and all nodes of a component have one root. An id is null only where all of its component are.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = cut(map_texts(rows, "text", ["id"], SIGNED, lambda: signer(width), as_bytes=True))
@@ -159,4 +159,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, id_col:
     roots = stars(links(rows, nodes, width, least, "text"))
     held = nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     classes = held.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.select("id", "node").join(held.select("node", "root"), "node").join(classes, "root").select("id", "node", "component_id")
+    return own.select("id", "node").join(held.select("node", "root"), "node").join(classes, "root").select("id", "node", "root", "component_id")
