@@ -211,6 +211,14 @@ def test_personal_data(docs, none):
     assert masked[1] == "Released under the MIT License. call <PHONE> or <PHONE> <EMAIL>" and masked[2] is None
 
 
+def test_units_of_all_documents_are_counted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "learn", lambda counts, chain: seen.append(counts))
+    rare = "4111 1111 1111 1111"  # one card among many documents
+    pii.fit(spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 30_000 == 7, rare).otherwise("no 12").alias("text")))
+    assert sum(n[0] for n in seen[0].values()) == 59_998 and sum(n[3] for n in seen[0].values()) == 2
+
+
 @pytest.mark.parametrize("full", [0, 17, 39])
 @pytest.mark.parametrize("against", [0.0, 1.0, 2.0])
 def test_all_repeats_of_a_number_are_found(full, against):

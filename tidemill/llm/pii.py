@@ -225,15 +225,12 @@ def learn(counts: dict[tuple, np.ndarray], chain: np.ndarray, steps: int = 400)
     return Field(weights, np.clip(pmi, -1.0, 1.0))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000) -> Field:
-    """A field learned from what the base scan says of the units of about ``max_docs`` documents, chosen by a hash of the id among those with a digit or an at sign.
+def fit(docs: DataFrame, text_col: str = "text") -> Field:
+    """A field learned from what the base scan says of the units of all documents with a digit or an at sign.
 
     Counts by shape and label (a few hundred rows at most) come to the driver, no texts.
     """
-    n = docs.select(id_col).count()
-    share = min(1.0, max_docs / max(1, n))
-    chosen = F.pmod(F.xxhash64(F.lit("pii"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-    rows = docs.filter(chosen & F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"))
+    rows = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"))
     shape = T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
