@@ -152,6 +152,12 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, empty, ["doc_id"]).collect()} == {"und"}
 
 
+def test_words_of_a_small_language_keep_their_places(spark):
+    rows = [(i, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}en" for k in range(300)), "en") for i in range(9)] + [(9, "le chat le chat", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", max_words=5)
+    assert {"le", "chat"} <= set(model.word_at) and len(model.word_at) == 7
+
+
 def test_backoff_by_hand():
     m = langid.Model(["x", "y"], {"ab": 0}, np.array([[-1.0, -2.0]]), {"^c": 0, "c": 1, "d$": 2}, np.array([[-1.0, -3.0], [-5.0, -5.0], [-2.0, -1.0]]), np.array([-12.0, -12.0]))
     assert m.score("ab").tolist() == [-1, -2]

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,10 +108,13 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: in
         counted = words.mapInArrow(grams_of, shape).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
         def most(table: DataFrame, limit: int) -> list:
-            """The most frequent items over all languages, with their counts in each."""
+            """The most frequent items of each language, with their counts in all; the most frequent first."""
             by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
             top = table.groupBy("item").agg(F.sum("n").alias("all"), *by).filter("all > 1")
-            return top.orderBy(F.desc("all"), "item").limit(limit * len(languages)).collect()
+            each = top.select("item", F.posexplode(F.array(*(f"n{i}" for i in range(len(languages))))).alias("lang", "n")).filter("n > 0")
+            rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+            chosen = each.withColumn("rank", rank).filter(F.col("rank") <= limit).select("item").distinct()
+            return top.join(chosen, "item", "left_semi").orderBy(F.desc("all"), "item").collect()
 
         known, pieces = most(words, max_words), most(counted, max_grams)
     finally:
