@@ -23,6 +23,18 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: <<var;max=2>> Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. <<var;max=2>> Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+with the distribution. """
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;max=12>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+<<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+
 # Public notices and licence texts in template markup.
 TEMPLATES = {
     "mit": [
@@ -33,13 +45,19 @@ TEMPLATES = {
         limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)
-        <<endOptional>>shall be included in all copies or substantial portions of the Software""",
+        <<endOptional>>shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS
+        IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=12>> BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+        OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
     ],
     "apache-2.0": [
         "licensed under the Apache License, Version 2.0",
         """licensed under the Apache License, Version 2.0 (the <<var;max=3>>); you may not use this <<var;max=4>> except in
         compliance with the License. You may obtain a copy of the License at <<var;max=12>> Unless required by
-        applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS""",
+        applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License""",
     ],
     "gpl-3.0": [
         """this <<var;max=4>> is licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License,
@@ -51,15 +69,19 @@ TEMPLATES = {
         "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY-NC 4.0",
         """licensed under a Creative Commons Attribution-NonCommercial 4.0 International License""",
     ],
+    "bsd-2-clause": [_BSD_CONDITIONS + _BSD_DISCLAIMER],
     "bsd-3-clause": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-        following conditions are met: <<var;max=2>> Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. <<var;max=2>> Redistributions in binary form must
-        reproduce the above copyright notice""",
+        _BSD_CONDITIONS + """ <<var;max=2>> Neither the name of <<var;max=12>> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission. """ + _BSD_DISCLAIMER,
     ],
     "isc": [
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies""",
+        granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED AS IS AND <<var;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE""",
     ],
 }
 
