@@ -149,6 +149,27 @@ def _matmul(s: SparkSession, d: str) -> DataFrame:
 
 register("matmul_ab", f"select a.i, b.j, round(sum(a.v * b.v), 6) + 0.0 as v from {_CELLS} a join {_CELLS} b on a.j = b.i group by a.i, b.j")(_matmul)
 register("matrix_transpose", f"select j as i, i as j, v from {_CELLS}")(lambda s, d: matrix.transpose(matrix.cells(embedding_rows(s, d, 64))))
+# The same operators over the whole table. The queries of 37 and 64 rows above stay, since their SQL is fixed.
+register("gram_upper_mirrored_whole", _gram_sql())(lambda s, d: _rounded(matrix.gram_by_functions(embedding_rows(s, d))))
+register("gram_ragged_blocks_whole", _gram_sql())(lambda s, d: _rounded(matrix.gram(embedding_rows(s, d), 37)))
+_ALL_CELLS = "(select vec_id as i, unnest(range(0, len(embedding))) as j, cast(unnest(embedding) as double) as v from embeddings)"
+
+
+def _gram_coo_whole(s: SparkSession, d: str) -> DataFrame:
+    own = matrix.cells(embedding_rows(s, d))
+    return _rounded(matrix.multiply(own, matrix.transpose(own)))
+
+
+register("gram_coo_whole", _gram_sql())(_gram_coo_whole)
+
+
+def _matmul_whole(s: SparkSession, d: str) -> DataFrame:
+    own = matrix.cells(embedding_rows(s, d))
+    return _rounded(matrix.multiply(own, own))
+
+
+register("matmul_ab_whole", f"select a.i, b.j, round(sum(a.v * b.v), 6) + 0.0 as v from {_ALL_CELLS} a join {_ALL_CELLS} b on a.j = b.i group by a.i, b.j")(_matmul_whole)
+register("matrix_transpose_whole", f"select j as i, i as j, v from {_ALL_CELLS}")(lambda s, d: matrix.transpose(matrix.cells(embedding_rows(s, d))))
 register("row_blocks", "select vec_id // 64 as block, count(*) as n_rows from embeddings group by 1")(
     lambda s, d: matrix.blocks(embedding_rows(s, d), 64).groupBy("block").agg(F.count("*").alias("n_rows")))
 register("matrix_text", "select vec_id as row_id, array_to_string([cast(cast(trunc(x * 1000) as bigint) as varchar) for x in cast(embedding as double[])], ' ') as line from embeddings")(
@@ -166,14 +187,15 @@ def _summary(s: SparkSession, d: str) -> DataFrame:
 register("metric_summary", "select event_type as event, count(value) as n, round(sum(value), 6) as sum_ms, round(min(value), 6) as min_ms, round(max(value), 6) as max_ms, round(avg(value), 6) as mean_ms, round(median(value), 6) as median_ms, round(stddev_pop(value), 6) as stddev_ms from events group by event_type")(_summary)
 
 
-def _trace(s: SparkSession, d: str) -> DataFrame:
+def _trace(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
     events = s.read.parquet(f"{d}/events.parquet")
     line = F.concat(F.lit("x [Tracing] {'name': '"), F.col("event_type"), F.lit("', 'ph': 'X', 'tid': '"), F.col("user_id").cast("string"), F.lit("', 'ts': '"), F.col("event_id").cast("string"), F.lit("', 'dur': "), F.get_json_object("props", "$.k"), F.lit(", 'args': {'worker': 'w'}}"))
-    lines = events.select(F.when(F.col("event_id") % 3 == 0, F.lit("no trace")).otherwise(line).alias("value"))
+    lines = events.select(F.when((F.col("event_id") % 3 == 0) & ~F.lit(whole), F.lit("no trace")).otherwise(line).alias("value"))
     return texts.trace_events(lines).select("name", "tid", "ts", F.col("dur").cast("long").alias("dur"), F.col("args.worker").alias("worker"))
 
 
 register("trace_extract", "select event_type as name, cast(user_id as varchar) as tid, cast(event_id as varchar) as ts, cast(json_extract_string(props, '$.k') as bigint) as dur, 'w' as worker from events where event_id % 3 <> 0")(_trace)
+register("trace_extract_whole", "select event_type as name, cast(user_id as varchar) as tid, cast(event_id as varchar) as ts, cast(json_extract_string(props, '$.k') as bigint) as dur, 'w' as worker from events")(lambda s, d: _trace(s, d, whole=True))
 
 
 def _compare(s: SparkSession, d: str) -> DataFrame:
@@ -191,6 +213,14 @@ def _equal(s: SparkSession, d: str) -> DataFrame:
 
 
 register("matrix_equal", "select cast(0 as bigint) as n_unequal")(_equal)
+
+
+def _equal_whole(s: SparkSession, d: str) -> DataFrame:
+    a, b = matrix.gram(embedding_rows(s, d), 37), matrix.gram_by_functions(embedding_rows(s, d))
+    return checks.unequal_cells(_rounded(a), _rounded(b)).agg(F.count("*").alias("n_unequal"))
+
+
+register("matrix_equal_whole", "select cast(0 as bigint) as n_unequal")(_equal_whole)
 register("block_schedule_k4", """
 select r.range as round, s.range as slot, least(a, b) as lo, greatest(a, b) as hi from range(7) r, range(4) s,
 lateral (select case when s.range = 0 then 7 else (r.range + s.range) % 7 end as a, case when s.range = 0 then r.range else (r.range - s.range + 7) % 7 end as b)""")(
