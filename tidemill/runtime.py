@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,5 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that was cut, marked for a broadcast if it has at most so many rows; for narrow rows of a few numbers or ids.
+
+    Beyond that a join shuffles, and Spark splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ceil_div(n: int, size: int) -> int:
     return max(1, -(-int(n) // int(size)))
