@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,38 +50,41 @@ def majority(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+def fingerprints_of(hashed: Iterable[Iterable[int]]) -> np.ndarray:
+    """The fingerprint of each text's shingle hashes, as signed numbers; at most about ``RUN`` hashes beyond one text's are held."""
+    counts: list[np.ndarray] = []
+    sizes: list[int] = []
+    held: list[np.ndarray] = []
+    n_held = 0
+
+    def flush() -> None:
+        if held:
+            lengths = [len(h) for h in held]
+            counts.append(majority(np.concatenate(held), np.repeat(np.arange(len(held)), lengths), len(held)))
+            sizes.extend(lengths)
+        held.clear()
+
+    for h in hashed:
+        held.append(h if isinstance(h, np.ndarray) else np.array(h, np.uint64))
+        n_held += len(held[-1])
+        if n_held >= RUN:
+            flush()
+            n_held = 0
+    flush()
+    if not counts:
+        return np.zeros(0, np.int64)
+    above = 2 * np.concatenate(counts) > np.array(sizes)[:, None]
+    return np.ascontiguousarray(np.packbits(above, axis=1, bitorder="little")).view("<u8").ravel().view("<i8")
+
+
 def fingerprinter(width: int) -> Callable[[list[bytes | None]], list[np.ndarray]]:
-    def of(texts: list[bytes | None]) -> list[np.ndarray]:
-        n = len(texts)
-        counts, sizes = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
-        held: list[int] = []
-        owners: list[np.ndarray] = []
-
-        def flush() -> None:
-            nonlocal counts
-            if held:
-                counts += majority(np.array(held, np.uint64), np.concatenate(owners), n)
-            held.clear()
-            owners.clear()
-
-        for i, text in enumerate(texts):
-            h = hashes(text, width)
-            sizes[i] = len(h)
-            held.extend(h)
-            owners.append(np.full(len(h), i, np.int64))
-            if len(held) >= RUN:
-                flush()
-        flush()
-        bits = np.ascontiguousarray(np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little"))
-        return [bits.view("<u8").ravel().view("<i8")]
-
-    return of
+    return lambda texts: [fingerprints_of(hashes(t, width) for t in texts)]
 
 
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fingerprint bits are those set in over half of the shingles' hashes; a text without words has 0."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_texts(rows, "text", ["id"], T.StructType([T.StructField("fp", T.LongType())]), lambda: fingerprinter(width), as_bytes=True)
+    return map_texts(rows, "text", ["id"], T.StructType([T.StructField("fp", T.LongType())]), lambda: fingerprinter(width), kind="bytes")
 
 
 # ---- trie self-join ----
@@ -176,13 +180,26 @@ def _forest(values: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]])
     return values[linked], values[all_roots[linked]]
 
 
+def _masks(bits: int, budget: int) -> list[int]:
+    """All numbers of so many bits with at most ``budget`` ones."""
+    return sorted(sum(1 << k for k in c) for n in range(budget + 1) for c in itertools.combinations(range(bits), n))
+
+
+def _bits(value: Column, order: list[int]) -> Column:
+    """The bits of a fingerprint at the places of ``order``, the first one highest."""
+    own = (F.shiftleft(F.shiftrightunsigned(value, k).bitwiseAND(F.lit(1).cast("long")), len(order) - 1 - i) for i, k in enumerate(order))
+    return sum(own, F.lit(0).cast("long"))
+
+
 def links(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints (column fp) which chains of links connect.
 
     Bits go from the evenest down, so that the trie branches early. Fingerprints are dealt by their
     first bits; a tile holds two such prefixes at ``budget`` or fewer differing bits, and gives a
     spanning forest of its links. The number of prefixes follows the number of fingerprints, so
-    that a tile stays near ``tile`` of them.
+    that a tile stays near ``tile`` of them. A prefix with more than twice as many, as of pages from
+    one template, is dealt by further bits in the same way; those that differ from the prefix of the
+    other side use up the budget first.
     """
     ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1).cast("long"))) for k in range(64)]
     n, *set_bits = distinct.agg(F.count("*"), *ones).first()
@@ -190,29 +207,55 @@ def links(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     order = sorted(range(64), key=lambda k: abs(2 * set_bits[k] - n))
     deep = max(6, math.ceil(math.log2(n / tile)))
-    prefix = sum((F.shiftleft(F.shiftrightunsigned("fp", order[i]).bitwiseAND(F.lit(1).cast("long")), deep - 1 - i) for i in range(deep)), F.lit(0).cast("long"))
-    masks = [m for m in range(1 << deep) if m.bit_count() <= budget]
-    spread = distinct.select("fp", prefix.alias("p"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m"))
+    dealt = distinct.select("fp", _bits(F.col("fp"), order[:deep]).alias("p"))
+    # at most n / (2 * tile) rows
+    crowded = {r["p"]: min(20, math.ceil(math.log2(r["n"] / tile))) for r in dealt.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * tile).collect()}
+    masks = F.array(*(F.lit(m).cast("long") for m in _masks(deep, budget)))
+    spread = dealt.select("fp", "p", F.explode(masks).alias("m"))
     other = F.col("p").bitwiseXOR(F.col("m"))
-    tiles = spread.select("fp", F.least("p", other).alias("low"), F.greatest("p", other).alias("high"), (F.col("p") > other).alias("second"))
+    sub = sub_other = F.lit(0).cast("long")
+    if crowded:
+        more = spread.sparkSession.createDataFrame(list(crowded.items()), "c long, more int")
+        a, b = (F.broadcast(more.select(F.col("c").alias(f"c{k}"), F.col("more").alias(f"more{k}"))) for k in (0, 1))  # bounded as above
+        spread = spread.join(a, F.col("p") == F.col("c0"), "left").join(b, other == F.col("c1"), "left")
+        spread = spread.select("fp", "p", "m", F.coalesce(F.greatest("more0", "more1"), F.lit(0)).alias("more"))
+        sizes = sorted(set(crowded.values()))
+        own = F.lit(0).cast("long")
+        within = F.array(F.lit(0).cast("long"))
+        for k in sizes:
+            own = F.when(F.col("more") == k, _bits(F.col("fp"), order[deep : deep + k])).otherwise(own)
+            for left in range(budget + 1):
+                some = F.array(*(F.lit(x).cast("long") for x in _masks(k, left)))
+                within = F.when((F.col("more") == k) & (F.bit_count("m") == budget - left), some).otherwise(within)
+        spread = spread.select("fp", "p", "m", own.alias("sub"), F.explode(within).alias("sub_m"))
+        sub, sub_other = F.col("sub"), F.col("sub").bitwiseXOR(F.col("sub_m"))
+    # of a pair of tiles' sides the lower (prefix, further bits) is first
+    second = (F.col("p") > other) | ((F.col("p") == other) & (sub > sub_other))
+    tiles = spread.select("fp", F.least("p", other).alias("low"), F.greatest("p", other).alias("high"), F.when(second, sub_other).otherwise(sub).alias("low_sub"), F.when(second, sub).otherwise(sub_other).alias("high_sub"), second.alias("second"))
 
     def join(table: pa.Table) -> pa.Table:
-        values = table["fp"].combine_chunks().to_numpy().view(np.uint64)
+        values = table["fp"].to_numpy().view(np.uint64)
         keyed = _permuted(values, order)
-        second = table["second"].to_numpy(zero_copy_only=False) if isinstance(table["second"], pa.Array) else table["second"].combine_chunks().to_numpy(zero_copy_only=False)
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        if low == high:
+        second = table["second"].to_numpy()
+        low, high, low_sub, high_sub = (table[c][0].as_py() for c in ("low", "high", "low_sub", "high_sub"))
+        if (low, low_sub) == (high, high_sub):
             at = np.argsort(keyed)
             a, b = _forest(values[at], trie_join(keyed[at], None, budget, 63 - deep))
         else:
             first, then = np.flatnonzero(~second), np.flatnonzero(second)
             first, then = first[np.argsort(keyed[first])], then[np.argsort(keyed[then])]
             both = np.concatenate((first, then))
+            # the walk starts below the prefixes and meets the further bits again
             pairs = ((i, j + len(first)) for i, j in trie_join(keyed[first], keyed[then], budget, 63 - deep, (low ^ high).bit_count()))
             a, b = _forest(values[both], pairs)
         return pa.table([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return tiles.groupBy("low", "high").applyInArrow(join, "a long, b long")
+    return tiles.groupBy("low", "high", "low_sub", "high_sub").applyInArrow(join, "a long, b long")
+
+
+def roots(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
+    """(node, root) of every distinct fingerprint (column fp) that chains of links connect to another."""
+    return stars(links(distinct, budget, tile))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,8 +268,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, budget: int = 3, id_col: st
     """
     own = cut(fingerprints(docs, width, id_col, text_col))
     distinct = cut(own.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = stars(links(distinct, budget))
-    held = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = roots(distinct, budget)
+    held = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = held.groupBy("root").agg(F.min("least").alias("component_id"))
     named = held.select("fp", "root").join(classes, "root").select("fp", "component_id")
     return own.join(named, "fp").select("id", "fp", "component_id")
