@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import components, cotraining, hostrules, langid, licenses, mixing, packing, pii, simhash, topk, wavelet
+from tidemill.llm import components, cotraining, hostrules, langid, licenses, mixing, packing, simhash, topk, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -152,17 +152,18 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, empty, ["doc_id"]).collect()} == {"und"}
 
 
-def test_words_of_a_small_language_keep_their_places(spark):
-    rows = [(i, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}en" for k in range(300)), "en") for i in range(9)] + [(9, "le chat le chat", "fr")]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", max_words=5)
-    assert {"le", "chat"} <= set(model.word_at) and len(model.word_at) == 7
-
-
 def test_backoff_by_hand():
-    m = langid.Model(["x", "y"], {"ab": 0}, np.array([[-1.0, -2.0]]), {"^c": 0, "c": 1, "d$": 2}, np.array([[-1.0, -3.0], [-5.0, -5.0], [-2.0, -1.0]]), np.array([-12.0, -12.0]))
-    assert m.score("ab").tolist() == [-1, -2]
+    own = langid.Marked.of(["cd"])
+    of = {(size, int(p)): int(k) for size, at, keys in own.gram_keys() for p, k in zip(at, keys)}
+    base = np.array([-9.0, -9.0])
+    gram = lambda *items: langid.Counts(np.sort(np.array([k for k, _ in items], np.uint64)), np.arange(0, 2 * len(items) + 1, 2, dtype=np.int32), np.array([0, 1] * len(items), np.int16), np.array([x for _, v in sorted(items) for x in v], np.float32), base)
+    two = gram((of[2, 0], (8.0, 6.0)), (of[2, 2], (7.0, 8.0)))  # "^c" and "d$"
+    one = gram((of[1, 1], (4.0, 4.0)))  # "c"
+    words = gram((int(langid.Marked.of(["ab"]).word_keys()[0]), (8.0, 7.0)))
+    m = langid.Model(["x", "y"], words, [one, two, gram(), gram()])
+    assert m.scores(["ab"]).tolist() == [[-1, -2]]
     # "^cd$": "^c", then "c", then "d$"
-    assert m.score("cd").tolist() == pytest.approx([2 * (-1 - 5 - 2) / 3, 2 * (-3 - 5 - 1) / 3])
+    assert m.scores(["cd"])[0].tolist() == pytest.approx([2 * (-1 - 5 - 2) / 3, 2 * (-3 - 5 - 1) / 3])
 
 
 def test_wavelet_matrix():
@@ -204,64 +205,6 @@ def test_token_index(spark, docs, none, tmp_path):
     assert wavelet.index_documents(none, f"file://{tmp_path}/b", path, 2).count() == 0
 
 
-def test_personal_data(docs, none):
-    field = pii.fit(docs)
-    got = {r.doc_id: r for r in pii.find(docs, field, ["doc_id"]).collect()}
-    assert (got[1].n_phone, got[1].n_email, got[1].n_card) == (1, 1, 0)
-    text = ROWS[0][1]
-    again = text.index("717-555-0202")
-    assert f"phone:{again}:{again + 12}" in got[1].spans.split(",")  # by its likeness to the full number
-    assert got[2].spans == got[3].spans == got[8].spans == ""
-    assert pii.find(none, field, ["doc_id"]).count() == 0
-    masked = {r.doc_id: r.masked_text for r in pii.masked(docs, field).collect()}
-    assert masked[1] == "Released under the MIT License. call <PHONE> or <PHONE> <EMAIL>" and masked[2] is None
-
-
-def test_units_of_all_documents_are_counted(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(pii, "learn", lambda counts, chain: seen.append(counts))
-    rare = "4111 1111 1111 1111"  # one card among many documents
-    pii.fit(spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 30_000 == 7, rare).otherwise("no 12").alias("text")))
-    assert sum(n[0] for n in seen[0].values()) == 59_998 and sum(n[3] for n in seen[0].values()) == 2
-
-
-@pytest.mark.parametrize("full", [0, 17, 39])
-@pytest.mark.parametrize("against", [0.0, 1.0, 2.0])
-def test_all_repeats_of_a_number_are_found(full, against):
-    field = pii.Field(np.zeros((20, 5)), np.zeros((5, 5)))
-    field.weights[0, 0] = against  # log odds of no label
-    parts = ["717-555-0202 as said in the letter of the other day, and so on"] * 40
-    parts[full] = "+1 (717) 555-0202 as said in the letter of the other day, and so on"
-    text = " ".join(parts)
-    base, spans = pii.all_spans(text, field)
-    assert len(base) == 1 and len(spans) == 40
-    assert pii.mask(text, spans).count("<PHONE>") == 40
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="a1.@+-4 256()é%", max_size=60))
-def test_base_scan_is_the_plain_one(text):
-    want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    want += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
-    n = lambda s: len(re.sub("[^0-9]", "", s))
-    want += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= n(m[0]) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
-    want += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= n(m[0]) <= 15]
-    assert pii.base_spans(text) == want
-
-
-def test_message_passing_is_exact_on_a_tree():
-    field = pii.Field(np.random.default_rng(3).normal(size=(20, 5)) * 0.3, np.random.default_rng(4).normal(size=(5, 5)) * 0.3)
-    text = "aa 123 bb 45678 cc 9.9"
-    found = pii.units(text, [])
-    assert len(found) == 3
-    local = np.stack([pii.features(u.shape) for u in found]) @ field.weights
-    full = np.exp(local[0][:, None, None] + local[1][None, :, None] + local[2][None, None, :] + field.chain[:, :, None] + field.chain[None, :, :])
-    full /= full.sum()
-    got = field.marginals(found, text, rounds=40)
-    for axis, p in enumerate(got):
-        assert p == pytest.approx(full.sum(tuple(a for a in range(3) if a != axis)), abs=1e-6)
-
-
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=40))
 def test_best_fit_decreasing(lengths):

@@ -260,7 +260,7 @@ def scan_licenses(docs: DataFrame, keep: list[str], text_col: str = "text", phra
     rows give repeated rows, an empty table none. A word sequence that several templates accept
     gives all their labels.
     """
-    return map_texts(docs, text_col, keep, FIELDS, lambda: scanner(phrases, templates), as_bytes=True)
+    return map_texts(docs, text_col, keep, FIELDS, lambda: scanner(phrases, templates), kind="bytes")
 
 
 def as_regex(template: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import ceil_div
-from .arrow import bound_batches
+from .arrow import release, slices
 from .tokens import tokenizer
 
 SHARD_BITS = 36
@@ -86,29 +86,28 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = 1024, id_col: st
     out, end = to_arrow_schema(schema), int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 1024):
-                encoded = tokenizer(path).encode(texts.slice(at, 1024))
-                rows: list[list] = [[] for _ in schema]
-                for name, ids in zip(names[at : at + 1024], encoded, strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, size):
-                        own = ids[4 * start : 4 * (start + size)]
-                        for column, v in zip(rows, (name, start, len(own) // 4, zlib.crc32(own), total, own), strict=False):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, out, strict=True)], schema=out)
-
-    bound_batches(docs.sparkSession)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            encoded = tokenizer(path).encode(batch.column(1))
+            rows: list[list] = [[] for _ in schema]
+            for name, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
+                total = len(ids) // 4
+                for start in range(0, total, size):
+                    own = ids[4 * start : 4 * (start + size)]
+                    for column, v in zip(rows, (name, start, len(own) // 4, zlib.crc32(own), total, own), strict=False):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, out, strict=True)], schema=out)
+        release()
+
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 
 
 def pack(docs: DataFrame, path: str, end_id: int, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, shard_docs: int = 2500) -> DataFrame:
     """Every id of every document in one piece, every piece in one sequence of at most ``size`` ids.
 
-    Documents are dealt by a hash of their id to shards of about ``shard_docs``; each shard is packed
-    alone by best-fit decreasing, so that memory is bounded by a shard's list of lengths. Of equal
+    Pieces are dealt by a hash of id, start and content to as many shards as there are ``shard_docs``
+    documents, so that neither rows without an id nor a very long text fill one; each shard is packed
+    alone by best-fit decreasing, so that memory is bounded by a shard's pieces. Of equal
     lengths the smaller (doc_id, start) is placed first; repeated rows give repeated pieces. Rows with
     a null id are packed like others. An empty table gives no rows. ``sequence_id`` is the shard's
     number times 2**36 plus the window's number in it. With ``keep_ids`` the ids come along, as
@@ -126,7 +125,7 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 1024, id_col: str
         table = table.append_column("sequence_id", pa.array([(shard << SHARD_BITS) + w for w, _ in placed], pa.int64()))
         return table.append_column("offset", pa.array([o for _, o in placed], pa.int64())).cast(out)
 
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards))
+    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "ids_crc32"), F.lit(shards))
     return cut.withColumn("shard", key).groupBy("shard").applyInArrow(place, schema)
 
 

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import shared_path
+from .arrow import bound_batches
 from . import cotraining, hostrules, langid, licenses, mixing, packing, pii, simhash, topk, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table; the session gets bounded Arrow batches where it has Spark's defaults."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

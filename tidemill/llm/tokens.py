@@ -10,7 +10,6 @@ than single spaces and line feeds) are cut at white space only, or given to the
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
@@ -24,8 +23,8 @@ _GAPS = r"[ \n][ \n]|\A[ \n]|[ \n]\z"
 _LETTER_END = r"(\p{L})([!-@\[-`{-~])"
 _UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 _RUNS = re.compile(r"\s*\S+|\s+")
-STORE = 300_000
-SLICE_BYTES = 4_000_000
+STORE = 250_000
+SLICE_BYTES = 2_000_000
 JOINED = 256  # pieces that the library gets as one text
 
 _loaded: dict[tuple[str, int], "WordTokenizer"] = {}
@@ -60,13 +59,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         # byte-level files keep white space; files that mark ends of words drop it
-        self.keeps_space = spec["model"].get("end_of_word_suffix") in (None, "")
-        self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        plain = ("single_word", "lstrip", "rstrip", "normalized")
-        self.mark = next(((x["content"], x["id"]) for x in spec.get("added_tokens", []) if not any(x.get(k) for k in plain)), None)
+        self.keeps_space = not getattr(self.library.model, "end_of_word_suffix", None)
+        added = self.library.get_added_tokens_decoder()
+        self.added = [x.content for _, x in sorted(added.items())]
+        self.mark = next(((x.content, i) for i, x in sorted(added.items()) if not (x.single_word or x.lstrip or x.rstrip or x.normalized)), None)
         self.store = Store(store)
 
     def whole(self, texts: list[str]) -> list[bytes]:

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ceil_div
-from .arrow import bound_batches
 from .tokens import tokenizer
 
 MAGIC = b"WMTX0001"
@@ -251,7 +250,6 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
         if names:
             yield flush()
 
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text").mapInArrow(work, schema)
 
