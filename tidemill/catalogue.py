@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import block_of
 from .operators import checks, matrix
 from .plans import algorithms
+from .runtime import shared_path
 from .sources import matrices, texts
-from .sources.graphs import EDGES, VERTICES, from_tables
+from .sources.graphs import EDGES, VERTICES, from_tables, read_edge_list, write_edge_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,63 +114,49 @@ select r.id, case when r.n >= z.n then cast(r.n - z.n as bigint) else 1000000000
 # ---- matrices ----
 
 
-def embedding_rows(s: SparkSession, d: str, below: int | None = None) -> DataFrame:
-    rows = s.read.parquet(f"{d}/embeddings.parquet")
-    rows = rows if below is None else rows.filter(F.col("vec_id") < below)
-    return rows.select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+def embedding_rows(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
 
 
 def _rounded(cells: DataFrame) -> DataFrame:
     return cells.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
-def _gram_sql(where: str = "true") -> str:
-    return f"""with m as (select vec_id as i, cast(embedding as double[]) as x from embeddings where {where})
+def _gram_sql() -> str:
+    return """with m as (select vec_id as i, cast(embedding as double[]) as x from embeddings)
 select a.i, b.i as j, round(list_dot_product(a.x, b.x), 6) + 0.0 as v from m a, m b"""
 
 
 register("gram_full", _gram_sql())(lambda s, d: _rounded(matrix.gram(embedding_rows(s, d))))
-register("gram_upper_mirrored", _gram_sql("vec_id < 37"))(lambda s, d: _rounded(matrix.gram_by_functions(embedding_rows(s, d, 37))))
-register("gram_ragged_blocks", _gram_sql("vec_id < 37"))(lambda s, d: _rounded(matrix.gram(embedding_rows(s, d, 37), 8)))
+register("gram_upper_mirrored", _gram_sql())(lambda s, d: _rounded(matrix.block_product(embedding_rows(s, d), embedding_rows(s, d), lambda a, b: a @ b.T, 100, mirrored=True)))
+register("gram_ragged_blocks", _gram_sql())(lambda s, d: _rounded(matrix.block_product(embedding_rows(s, d), embedding_rows(s, d), lambda a, b: a @ b.T, 37)))
+_CELLS = "(select vec_id as i, unnest(range(0, len(embedding))) as j, cast(unnest(embedding) as double) as v from embeddings)"
 
 
 def _gram_coo(s: SparkSession, d: str) -> DataFrame:
-    own = matrix.cells(embedding_rows(s, d, 64))
+    own = matrix.cells(embedding_rows(s, d))
     return _rounded(matrix.multiply(own, matrix.transpose(own)))
 
 
-register("gram_coo", _gram_sql("vec_id < 64"))(_gram_coo)
-_CELLS = "(select vec_id as i, unnest(range(0, 64)) as j, cast(unnest(embedding) as double) as v from embeddings where vec_id < 64)"
+register("gram_coo", _gram_sql())(_gram_coo)
 
 
 def _matmul(s: SparkSession, d: str) -> DataFrame:
-    own = matrix.cells(embedding_rows(s, d, 64))
+    own = matrix.cells(embedding_rows(s, d))
     return _rounded(matrix.multiply(own, own))
 
 
 register("matmul_ab", f"select a.i, b.j, round(sum(a.v * b.v), 6) + 0.0 as v from {_CELLS} a join {_CELLS} b on a.j = b.i group by a.i, b.j")(_matmul)
-register("matrix_transpose", f"select j as i, i as j, v from {_CELLS}")(lambda s, d: matrix.transpose(matrix.cells(embedding_rows(s, d, 64))))
-# The same operators over the whole table. The queries of 37 and 64 rows above stay, since their SQL is fixed.
-register("gram_upper_mirrored_whole", _gram_sql())(lambda s, d: _rounded(matrix.gram_by_functions(embedding_rows(s, d))))
-register("gram_ragged_blocks_whole", _gram_sql())(lambda s, d: _rounded(matrix.gram(embedding_rows(s, d), 37)))
-_ALL_CELLS = "(select vec_id as i, unnest(range(0, len(embedding))) as j, cast(unnest(embedding) as double) as v from embeddings)"
-
-
-def _gram_coo_whole(s: SparkSession, d: str) -> DataFrame:
-    own = matrix.cells(embedding_rows(s, d))
-    return _rounded(matrix.multiply(own, matrix.transpose(own)))
-
-
-register("gram_coo_whole", _gram_sql())(_gram_coo_whole)
+register("matrix_transpose", f"select j as i, i as j, v from {_CELLS}")(lambda s, d: matrix.transpose(matrix.cells(embedding_rows(s, d))))
 
 
-def _matmul_whole(s: SparkSession, d: str) -> DataFrame:
-    own = matrix.cells(embedding_rows(s, d))
-    return _rounded(matrix.multiply(own, own))
+def _assembled(s: SparkSession, d: str) -> DataFrame:
+    rows = matrix.gather_rows(_rounded(matrix.gram(embedding_rows(s, d))))
+    return rows.select("row_id", F.size("values").cast("long").alias("n"), F.element_at("values", 1).alias("first"), F.element_at("values", -1).alias("last"))
 
 
-register("matmul_ab_whole", f"select a.i, b.j, round(sum(a.v * b.v), 6) + 0.0 as v from {_ALL_CELLS} a join {_ALL_CELLS} b on a.j = b.i group by a.i, b.j")(_matmul_whole)
-register("matrix_transpose_whole", f"select j as i, i as j, v from {_ALL_CELLS}")(lambda s, d: matrix.transpose(matrix.cells(embedding_rows(s, d))))
+register("gram_rows", """with m as (select vec_id as i, cast(embedding as double[]) as x from embeddings), r as (select a.i as row_id, list(round(list_dot_product(a.x, b.x), 6) + 0.0 order by b.i) as v from m a, m b group by a.i)
+select row_id, len(v) as n, v[1] as first, v[-1] as last from r""")(_assembled)
 register("row_blocks", "select vec_id // 64 as block, count(*) as n_rows from embeddings group by 1")(
     lambda s, d: matrix.blocks(embedding_rows(s, d), 64).groupBy("block").agg(F.count("*").alias("n_rows")))
 register("matrix_text", "select vec_id as row_id, array_to_string([cast(cast(trunc(x * 1000) as bigint) as varchar) for x in cast(embedding as double[])], ' ') as line from embeddings")(
@@ -181,21 +168,21 @@ register("block_pairs", "select x.range as a, y.range as b from range(8) x, rang
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
     rows = checks.metric_summary(s.read.parquet(f"{d}/events.parquet"), "event_type", "value")
-    return rows.select("event", "n", *(F.round(c, 6).alias(c) for c in rows.columns[2:]))
+    return rows.select("event", "n", *(F.round(c, 9).alias(c) for c in rows.columns[2:]))
 
 
-register("metric_summary", "select event_type as event, count(value) as n, round(sum(value), 6) as sum_ms, round(min(value), 6) as min_ms, round(max(value), 6) as max_ms, round(avg(value), 6) as mean_ms, round(median(value), 6) as median_ms, round(stddev_pop(value), 6) as stddev_ms from events group by event_type")(_summary)
+register("metric_summary", "with e as (select event_type, value / 1e6 as v from events) select event_type as event, count(v) as n, round(sum(v), 9) as sum_ms, round(min(v), 9) as min_ms, round(max(v), 9) as max_ms, round(avg(v), 9) as mean_ms, round(median(v), 9) as median_ms, round(stddev_pop(v), 9) as stddev_ms from e group by event_type")(_summary)
 
 
-def _trace(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _trace(s: SparkSession, d: str) -> DataFrame:
+    """Each event is a line of a log, with a line that is none after it."""
     events = s.read.parquet(f"{d}/events.parquet")
     line = F.concat(F.lit("x [Tracing] {'name': '"), F.col("event_type"), F.lit("', 'ph': 'X', 'tid': '"), F.col("user_id").cast("string"), F.lit("', 'ts': '"), F.col("event_id").cast("string"), F.lit("', 'dur': "), F.get_json_object("props", "$.k"), F.lit(", 'args': {'worker': 'w'}}"))
-    lines = events.select(F.when((F.col("event_id") % 3 == 0) & ~F.lit(whole), F.lit("no trace")).otherwise(line).alias("value"))
+    lines = events.select(F.explode(F.array(line, F.concat(F.lit("no trace of "), F.col("event_type")))).alias("value"))
     return texts.trace_events(lines).select("name", "tid", "ts", F.col("dur").cast("long").alias("dur"), F.col("args.worker").alias("worker"))
 
 
-register("trace_extract", "select event_type as name, cast(user_id as varchar) as tid, cast(event_id as varchar) as ts, cast(json_extract_string(props, '$.k') as bigint) as dur, 'w' as worker from events where event_id % 3 <> 0")(_trace)
-register("trace_extract_whole", "select event_type as name, cast(user_id as varchar) as tid, cast(event_id as varchar) as ts, cast(json_extract_string(props, '$.k') as bigint) as dur, 'w' as worker from events")(lambda s, d: _trace(s, d, whole=True))
+register("trace_extract", "select event_type as name, cast(user_id as varchar) as tid, cast(event_id as varchar) as ts, cast(json_extract_string(props, '$.k') as bigint) as dur, 'w' as worker from events")(_trace)
 
 
 def _compare(s: SparkSession, d: str) -> DataFrame:
@@ -208,25 +195,27 @@ register("compare_tolerance", _pagerank_sql("nation", 2, " select s2.id, round(s
 
 
 def _equal(s: SparkSession, d: str) -> DataFrame:
-    a, b = matrix.gram(embedding_rows(s, d, 37), 8), matrix.gram_by_functions(embedding_rows(s, d, 37))
-    return checks.unequal_cells(_rounded(a), _rounded(b)).agg(F.count("*").alias("n_unequal"))
-
-
-register("matrix_equal", "select cast(0 as bigint) as n_unequal")(_equal)
+    """Cells of the product in blocks against those by coordinates, of which the ones above 0.5 are moved by 1."""
+    rows = embedding_rows(s, d)
+    own = matrix.cells(rows)
+    moved = F.when(F.col("v") > 0.5, F.col("v") + 1.0).otherwise(F.col("v"))
+    b = _rounded(matrix.multiply(own, matrix.transpose(own))).withColumn("v", moved)
+    return checks.unequal_cells(_rounded(matrix.gram(rows, 100)), b).agg(F.count("*").alias("n_unequal"))
 
 
-def _equal_whole(s: SparkSession, d: str) -> DataFrame:
-    a, b = matrix.gram(embedding_rows(s, d), 37), matrix.gram_by_functions(embedding_rows(s, d))
-    return checks.unequal_cells(_rounded(a), _rounded(b)).agg(F.count("*").alias("n_unequal"))
-
-
-register("matrix_equal_whole", "select cast(0 as bigint) as n_unequal")(_equal_whole)
+register("matrix_equal", f"with g as ({_gram_sql()}) select count(*) as n_unequal from g where v > 0.5")(_equal)
 register("block_schedule_k4", """
 select r.range as round, s.range as slot, least(a, b) as lo, greatest(a, b) as hi from range(7) r, range(4) s,
 lateral (select case when s.range = 0 then 7 else (r.range + s.range) % 7 end as a, case when s.range = 0 then r.range else (r.range - s.range + 7) % 7 end as b)""")(
     lambda s, d: checks.block_schedule(s, 4))
-register("schedule_checks", "select cast(207 as bigint) as n_rounds, cast(208 as bigint) as min_covered, cast(208 as bigint) as max_covered, cast(207 * 104 as bigint) as n_pairs, cast(207 * 104 as bigint) as n_distinct_pairs")(
+_CIRCLE = """(select r.range as round, unnest(case when s.range = 0 then [207, r.range] else [(r.range + s.range) % 207, (r.range - s.range + 207) % 207] end) as block,
+ least(case when s.range = 0 then 207 else (r.range + s.range) % 207 end, case when s.range = 0 then r.range else (r.range - s.range + 207) % 207 end) as lo,
+ greatest(case when s.range = 0 then 207 else (r.range + s.range) % 207 end, case when s.range = 0 then r.range else (r.range - s.range + 207) % 207 end) as hi from range(207) r, range(104) s)"""
+register("schedule_checks", f"""with c as {_CIRCLE}, n as (select round, count(distinct block) as k from c group by round)
+select (select count(*) from n) as n_rounds, (select min(k) from n) as min_covered, (select max(k) from n) as max_covered, (select count(*) // 2 from c) as n_pairs, (select count(distinct (lo, hi)) from c) as n_distinct_pairs""")(
     lambda s, d: checks.schedule_checks(checks.block_schedule(s, 104)))
+register("exchange_plan_checks", "select range as round, cast(32 as bigint) as n_blocks, cast(16 as bigint) as n_good, cast(16 as bigint) as n_new from range(30)")(
+    lambda s, d: checks.plan_checks(checks.plan_table(s, 16), 16))
 _LINES = ["app.name=pagerank", "# a comment", "", "app.input_dir=/a=b", "buffer.capacity=2", "alone", "servers=h1:1,h2:2,"]
 _LINE_SQL = "(select unnest([" + ", ".join(f"'{x}'" for x in _LINES) + "]) as value)"
 register("config_kv", f"select case when contains(value, '=') then split_part(value, '=', 1) else value end as key, case when contains(value, '=') then value[instr(value, '=') + 1:] else value end as value from {_LINE_SQL} where value <> '' and not starts_with(value, '#')")(
@@ -245,3 +234,48 @@ def _union(s: SparkSession, d: str) -> DataFrame:
 
 
 register("rank_union", graph_sql("trade", ", x as (select src as id from e union all select dst from e) select v.id, cast(count(x.id) as bigint) as degree from v left join x on x.id = v.id group by v.id"))(_union)
+
+# ---- text files: a table is written as one and read again ----
+
+
+def _edge_text(name: str, weighted: bool):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        g, path = from_tables(s, d, name), shared_path(s, "edges")
+        top = g.vertices.agg(F.max("id")).first()[0]
+        write_edge_list(g, path, 1 + (-1 if top is None else top), weighted)
+        return read_edge_list(s, path, weighted).edges
+
+    return query
+
+
+register("edge_list_text", EDGES["trade"])(_edge_text("trade", False))
+register("edge_list_weighted_text", EDGES["users"])(_edge_text("users", True))
+
+
+def _text_degrees(s: SparkSession, d: str) -> DataFrame:
+    g, path = from_tables(s, d, "nation"), shared_path(s, "edges")
+    write_edge_list(g, path, 1 + g.vertices.agg(F.max("id")).first()[0])
+    return read_edge_list(s, path).degrees()
+
+
+register("edge_list_text_degrees", graph_sql("nation", ", x as (select range as id from range((select max(id) + 1 from v))), o as (select src as id, count(*) as n from e group by src), i as (select dst as id, count(*) as n from e group by dst) select x.id, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) + coalesce(o.n, 0) as degree from x left join o using (id) left join i using (id)"))(_text_degrees)
+
+
+def _matrix_text(s: SparkSession, d: str) -> DataFrame:
+    path = shared_path(s, "matrix")
+    rows = embedding_rows(s, d)
+    matrices.write_matrix(rows, path, 64)
+    return matrix.cells(matrices.read_matrix(s, path))
+
+
+register("matrix_text_read", f"select i, j, v from {_CELLS}")(_matrix_text)
+
+
+def _normalized_sql(name: str, n: int) -> str:
+    steps = ", n as (select cast(count(*) as double) as n from v), d as materialized (select v.id, o.n as outs from v left join o on o.src = v.id), s0 as materialized (select id, 1 / n as r from v, n)" + "".join(
+        f", s{k} as materialized (select v.id, (0.15::double + 0.85::double * (select coalesce(sum(r), 0) from s{k - 1} join d using (id) where outs is null)) / n.n + 0.85::double * coalesce(m.a, 0) as r from v cross join n left join (select dst, sum(r * share) as a from t join s{k - 1} on id = src group by dst) m on m.dst = v.id)" for k in range(1, n + 1))
+    return graph_sql(name, _SHARES + steps + f" select id, round(r, 9) as result from s{n}")
+
+
+register("pagerank_normalized_10_trade", _normalized_sql("trade", 10))(
+    lambda s, d: algorithms.pagerank_normalized(from_tables(s, d, "trade"), 10, None).select("id", F.round("result", 9).alias("result")))

@@ -20,8 +20,8 @@ def unequal_cells(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def metric_summary(samples: DataFrame, event: str = "event", value: str = "value") -> DataFrame:
-    """Count, sum, extremes, mean, exact median and population deviation of each event."""
-    v = F.col(value).cast("double")
+    """Count, sum, extremes, mean, exact median and population deviation of each event, in milliseconds of samples in nanoseconds."""
+    v = F.col(value).cast("double") / 1e6
     return samples.groupBy(F.col(event).alias("event")).agg(
         F.count(v).alias("n"), F.sum(v).alias("sum_ms"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"),
         F.avg(v).alias("mean_ms"), F.percentile(v, 0.5).alias("median_ms"), F.stddev_pop(v).alias("stddev_ms"),
@@ -75,8 +75,19 @@ def exchange_plan(k: int) -> list[list[tuple[int, int]]]:
     return plan
 
 
-def kept_blocks(schedule: DataFrame) -> DataFrame:
-    """(round, n_blocks, n_kept): blocks that a round shares with the one before; all of them, as each is placed in every round."""
-    ends = schedule.select("round", F.explode(F.array("lo", "hi")).alias("b"))
-    before = F.lag("round").over(Window.partitionBy("b").orderBy("round"))
-    return ends.withColumn("was", before).groupBy("round").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("was") == F.col("round") - 1).alias("n_kept"))
+def plan_table(spark: SparkSession, k: int) -> DataFrame:
+    """(round, worker, kept, fetched) of ``exchange_plan``; 2k-2 rounds of k rows."""
+    rows = [(r, w, *pair) for r, turn in enumerate(exchange_plan(k)) for w, pair in enumerate(turn)]
+    return spark.createDataFrame(rows, "round long, worker long, kept long, fetched long")
+
+
+def plan_checks(plan: DataFrame, k: int) -> DataFrame:
+    """For each round the blocks that are held, the workers that kept one of their two blocks and fetched one they hadn't, and the pairs that are new."""
+    first = plan.sparkSession.createDataFrame([(-1, w, 2 * k - 1 if not w else w % (2 * k - 1), 0 if not w else -w % (2 * k - 1)) for w in range(k)], "round long, worker long, kept long, fetched long")
+    all_of = first.union(plan)
+    before = Window.partitionBy("worker").orderBy("round")
+    was = F.array(F.lag("kept").over(before), F.lag("fetched").over(before))
+    marked = all_of.withColumn("was", was).withColumn("pair", F.array(F.least("kept", "fetched"), F.greatest("kept", "fetched")))
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("pair").orderBy("round")))
+    good = F.array_contains("was", F.col("kept")) & ~F.array_contains("was", F.col("fetched"))
+    return marked.groupBy("round").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pair")))).cast("long").alias("n_blocks"), F.count_if(good).alias("n_good"), F.count_if(F.col("nth") == 1).alias("n_new")).filter("round >= 0")

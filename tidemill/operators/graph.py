@@ -44,9 +44,10 @@ class PropertyGraph:
         return self.edges.groupBy("src", "dst").agg(F.count("*").alias("n_edges"), F.min("weight").alias("min_weight"))
 
     def transition(self) -> DataFrame:
-        """src, dst, share: the part of a vertex's value that goes along its edges to another."""
+        """src, dst, share: the part of a vertex's value that goes along its edges to another; both counts come from one exchange of the edges."""
         merged = self.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-        return merged.join(self.out_degrees(), merged.src == F.col("id")).select("src", "dst", (F.col("n") / F.col("out_degree")).alias("share"))
+        outs = merged.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out_degree"))
+        return merged.join(outs, F.col("src") == F.col("id")).select("src", "dst", (F.col("n") / F.col("out_degree")).alias("share"))
 
     def triplets(self, state: DataFrame) -> DataFrame:
         """Edges with the state of both ends; state has id and value."""

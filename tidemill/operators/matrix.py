@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ceil_div
-
 CELLS = "i long, j long, v double"
 
 
@@ -27,16 +25,20 @@ def block_pairs(spark, parts: int) -> DataFrame:
 def block_product(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, mirrored: bool = False) -> DataFrame:
     """(i, j, v): kernel(A, B) of each block A of left rows and B of right rows, as cells.
 
-    Blocks are grouped by their pair, so a task holds two blocks. ``mirrored`` is for a kernel and
+    Blocks are grouped by their pair, so a task holds two blocks; only blocks that have rows are
+    paired, whatever the ids. ``mirrored`` is for a kernel and
     sides that are symmetric: only pairs with a at most b are computed, and cells mirrored.
     """
-    n, m = (side.agg(F.max("row_id")).first()[0] for side in (left, right))
-    a_n, b_n = ceil_div((-1 if n is None else n) + 1, size), ceil_div((-1 if m is None else m) + 1, size)
-    seq = lambda lo, hi: F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
+    own = lambda side: [r["block"] for r in blocks(side, size).select("block").distinct().orderBy("block").collect()]  # noqa: E731  a row a block
+    a_of = own(left)
+    b_of = a_of if right is left or mirrored else own(right)
+    listed = lambda found: F.expr(f"cast(array({','.join(map(str, found))}) as array<bigint>)")
+    from_here = lambda c: F.explode(F.filter(listed(b_of), lambda x: x >= F.col(c)))
+    to_here = lambda c: F.explode(F.filter(listed(a_of), lambda x: x <= F.col(c)))
     a = blocks(left, size).select(F.col("block").alias("a"), F.col("row_id").alias("a_row"), F.col("values").alias("a_values"))
-    a = a.withColumn("b", seq(F.col("a") if mirrored else F.lit(0), F.lit(b_n - 1)))
+    a = a.withColumn("b", from_here("a") if mirrored else F.explode(listed(b_of)))
     b = blocks(right, size).select(F.col("block").alias("b"), F.col("row_id").alias("b_row"), F.col("values").alias("b_values"))
-    b = b.withColumn("a", seq(F.lit(0), F.col("b") if mirrored else F.lit(a_n - 1)))
+    b = b.withColumn("a", to_here("b") if mirrored else F.explode(listed(a_of)))
 
     def product(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -58,14 +60,6 @@ def gram(rows: DataFrame, size: int = 512) -> DataFrame:
     return block_product(rows, rows, lambda a, b: a @ b.T, size, mirrored=True)
 
 
-def gram_by_functions(rows: DataFrame) -> DataFrame:
-    """The same by array functions over the pairs of rows i <= j, mirrored; for small matrices."""
-    a, b = (rows.select(F.col("row_id").alias(k), F.col("values").alias(f"v{k}")) for k in "ij")
-    dot = F.aggregate(F.zip_with("vi", "vj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    half = a.join(b, F.col("i") <= F.col("j")).select("i", "j", dot.alias("v"))
-    return half.union(half.filter("i < j").select("j", "i", "v"))
-
-
 def cells(rows: DataFrame) -> DataFrame:
     """Coordinates: (i, j, v)."""
     return rows.select(F.col("row_id").alias("i"), F.posexplode("values").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))

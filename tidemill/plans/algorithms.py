@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
+from ..runtime import BROADCAST_ROWS, cut
+from .components import stars
 from .vertex import Message, VertexProgram
 
 FAR = 1e9
@@ -16,23 +18,66 @@ def degrees(graph: PropertyGraph) -> DataFrame:
     return graph.degrees()
 
 
-def pagerank(graph: PropertyGraph, iterations: int = 10, normalized: bool = False) -> DataFrame:
+def _shared(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """Vertices with their out-degrees (null for none) and edges with parallel ones merged, weight their number; one scan of the edges."""
+    merged = cut(graph.edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
+    outs = merged.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_degree"))
+    return graph.vertices.join(outs, "id", "left"), merged
+
+
+def pagerank(graph: PropertyGraph, iterations: int = 10) -> DataFrame:
     """(id, result): r = 0.15 + 0.85 * sum of r(u) / out_degree(u), from 1, without normalisation; what reaches a vertex without out-edges is lost.
 
-    Parallel edges are merged into shares first. ``normalized`` divides by the number of vertices.
+    Parallel edges count as often as they are given.
     """
-    shares = graph.transition().withColumnRenamed("share", "weight")
+    vertices, edges = _shared(graph)
     program = VertexProgram(
         {"result": F.lit(1.0)},
-        [Message("dst", F.col("src_result") * F.col("weight"))],
+        [Message("dst", F.col("src_result") / F.col("src_out_degree") * F.col("weight"))],
         {"result": F.lit(1 - DAMPING) + F.lit(DAMPING) * F.coalesce("acc", F.lit(0.0))},
+        own_state=False,
     )
-    out = program.run(PropertyGraph(graph.vertices, shares), iterations)
-    return out.withColumn("result", F.col("result") / graph.vertices.count()) if normalized else out
+    return program.run(PropertyGraph(vertices, edges), iterations)
+
+
+def pagerank_normalized(graph: PropertyGraph, iterations: int = 100, tol: float | None = 1e-6) -> DataFrame:
+    """(id, result): ranks that sum to 1; what reaches a vertex without out-edges goes to all alike.
+
+    After ``iterations``, or with ``tol`` after the first that changes the ranks by less than
+    ``tol`` times their number in all. Without vertices there are no ranks.
+    """
+    vertices, edges = _shared(graph)
+    vertices = cut(vertices)
+    n = vertices.count()
+    if not n:
+        return vertices.select("id", F.lit(1.0).alias("result"))
+    few = n <= BROADCAST_ROWS
+    edges = (edges if few else edges.repartition("src")).persist()
+    state = cut(vertices.withColumn("result", F.lit(1.0 / n)))
+    try:
+        for _ in range(iterations):
+            lost = state.filter("out_degree is null").agg(F.sum("result")).first()[0] or 0.0  # one number
+            own = state.select(F.col("id").alias("src"), (F.col("result") / F.col("out_degree")).alias("each"))
+            got = edges.join(F.broadcast(own) if few else own, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("each") * F.col("weight")).alias("acc"))
+            rank = F.lit((1 - DAMPING + DAMPING * lost) / n) + F.lit(DAMPING) * F.coalesce("acc", F.lit(0.0))
+            now = cut(state.join(got, "id", "left").select("id", "out_degree", rank.alias("result"), F.col("result").alias("before")))
+            moved = now.agg(F.sum(F.abs(F.col("result") - F.col("before")))).first()[0]
+            state = now.drop("before")
+            if tol is not None and moved < n * tol:
+                break
+        return state.select("id", "result")
+    finally:
+        edges.unpersist()
 
 
 def connected_components(graph: PropertyGraph, iterations: int | None = None) -> DataFrame:
-    """(id, label): the smallest id within so many steps in either direction, or with None in the whole component."""
+    """(id, label): the smallest id within so many steps in either direction, or with None in the whole component.
+
+    The whole component is found by star contraction, in rounds that grow with the logarithm of its size.
+    """
+    if iterations is None:
+        roots = stars(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("id"), "root")
+        return graph.vertices.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
     edges = graph.edges.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct()
     program = VertexProgram(
         {"label": F.col("id")}, [Message("dst", F.col("src_label"), "min")],
@@ -62,11 +107,12 @@ def bfs(graph: PropertyGraph, source: int = 0, iterations: int | None = None) ->
     return shortest_path(unit, source, iterations).select("id", F.col("distance").cast("long").alias("level"))
 
 
-#: Applications by name; all give id and one value.
+#: Applications by name, of a graph, a number of iterations (None: to the fixpoint) and a source; all give id and one value.
 APPLICATIONS = {
-    "pagerank": lambda g, n: pagerank(g, n).select("id", F.col("result").alias("value")),
-    "components": lambda g, n: connected_components(g, n).select("id", F.col("label").cast("double").alias("value")),
-    "shortest_path": lambda g, n: shortest_path(g, 0, n).select("id", F.col("distance").alias("value")),
-    "bfs": lambda g, n: bfs(g, 0, n).select("id", F.col("level").cast("double").alias("value")),
-    "degree": lambda g, n: degrees(g).select("id", F.col("degree").cast("double").alias("value")),
+    "pagerank": lambda g, n, source: pagerank(g, 10 if n is None else n).select("id", F.col("result").alias("value")),
+    "pagerank_normalized": lambda g, n, source: pagerank_normalized(g, 100 if n is None else n).select("id", F.col("result").alias("value")),
+    "components": lambda g, n, source: connected_components(g, n).select("id", F.col("label").cast("double").alias("value")),
+    "shortest_path": lambda g, n, source: shortest_path(g, source, n).select("id", F.col("distance").alias("value")),
+    "bfs": lambda g, n, source: bfs(g, source, n).select("id", F.col("level").cast("double").alias("value")),
+    "degree": lambda g, n, source: degrees(g).select("id", F.col("degree").cast("double").alias("value")),
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import PropertyGraph
+from .streams import Stream
 
 FAR_SUPPLIER = 1_000_000
 # SQL of edges and vertices, the same in Spark and DuckDB.
@@ -34,43 +36,22 @@ def from_tables(spark: SparkSession, sf_dir: str, name: str) -> PropertyGraph:
     return PropertyGraph(spark.sql(VERTICES[name]), spark.sql(EDGES[name]))
 
 
-def tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(at, token) of a text file's white-space separated tokens in order, at any line layout.
-
-    Places are found without gathering the file in one task: each partition's tokens are counted,
-    and a small table of the counts gives where each partition begins.
-    """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda x: x != "").alias("t"))
-    lines = lines.withColumn("part", F.shiftright("line", 33))
-    from pyspark.sql import Window
-
-    counts = lines.groupBy("part").agg(F.sum(F.size("t")).alias("n"))
-    begins = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    before = F.coalesce(F.sum(F.size("t")).over(Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.withColumn("before", before).join(begins, "part")
-    return placed.select(F.posexplode("t").alias("i", "token"), (F.col("begin") + F.col("before")).alias("b")).select((F.col("b") + F.col("i")).alias("at"), "token")
-
-
 def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, num_vertices: int | None = None, on_bad_id: str = "fail") -> PropertyGraph:
     """A token stream ``V (src dst [weight])*``; the domain is 0..V-1, with isolated vertices.
 
     With ``num_vertices`` the stream has no leading V. An incomplete last edge is left out. Ids
-    outside the domain raise, or are dropped with ``on_bad_id="drop"``.
+    outside the domain raise, or are dropped with ``on_bad_id="drop"``; tokens that are no numbers raise.
     """
     if on_bad_id not in ("fail", "drop"):
         raise ValueError(f"on_bad_id is fail or drop, not {on_bad_id}")
-    stream, width = tokens(spark, path), 3 if weighted else 2
-    skip = 0 if num_vertices is not None else 1
+    stream, skip = Stream.open(spark, path), 0 if num_vertices is not None else 1
     if num_vertices is None:
-        head = stream.filter("at = 0").first()
-        if head is None:
+        if not (head := stream.head(1)):
             raise ValueError(f"{path} is empty")
-        num_vertices = int(head["token"])
-    own = stream.filter(F.col("at") >= skip).withColumn("at", F.col("at") - skip)
-    rows = own.groupBy(F.expr(f"at div {width}").alias("edge")).agg(*(F.max(F.when(F.col("at") % width == i, F.col("token"))).alias(n) for i, n in enumerate(("src", "dst", "weight")[:width])))
-    rows = rows.filter(F.col("dst" if width == 2 else "weight").isNotNull())
-    weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    edges = rows.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"))
+        num_vertices = int(head[0])
+    types = {"src": T.LongType(), "dst": T.LongType()} | ({"weight": T.DoubleType()} if weighted else {})
+    rows = stream.records(types, skip)
+    edges = rows if weighted else rows.withColumn("weight", F.lit(1.0))
     inside = F.col("src").between(0, num_vertices - 1) & F.col("dst").between(0, num_vertices - 1)
     if on_bad_id == "drop":
         edges = edges.filter(inside)
@@ -79,6 +60,13 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, num_v
     return PropertyGraph(spark.range(num_vertices), edges)
 
 
+def write_edge_list(graph: PropertyGraph, path: str, num_vertices: int, weighted: bool = False) -> None:
+    """A folder of text files that ``read_edge_list`` reads: the number of vertices in the first, an edge a line in the others."""
+    head = graph.edges.sparkSession.createDataFrame([(str(num_vertices),)], "value string").coalesce(1)
+    columns = ["src", "dst", *(["weight"] if weighted else [])]
+    head.union(graph.edges.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)))).write.text(path)
+
+
 def random_graph(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) -> PropertyGraph:
     """A directed graph in which each ordered pair of different vertices is an edge with chance p."""
     pairs = spark.range(n * n).select(F.expr(f"id div {n}").alias("src"), (F.col("id") % n).alias("dst"), F.rand(seed).alias("r"))
@@ -86,6 +74,6 @@ def random_graph(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) ->
 
 
 def write_vertices(values: DataFrame, path: str, value: str, single: bool = False) -> None:
-    """``id value`` lines in ascending id order; ``single`` makes one file."""
+    """``id value`` lines in ascending id order; ``single`` makes one file, which takes one task, as the format has it."""
     lines = values.orderBy("id").select(F.concat_ws(" ", F.col("id").cast("string"), F.col(value).cast("string")).alias("value"))
     (lines.coalesce(1) if single else lines).write.text(path)
