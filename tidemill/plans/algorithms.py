@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
-from ..runtime import BROADCAST_ROWS, cut
+from ..runtime import BROADCAST_ROWS, cut, forget
 from .components import stars
 from .vertex import Message, VertexProgram
 
@@ -53,7 +53,7 @@ def pagerank_normalized(graph: PropertyGraph, iterations: int = 100, tol: float
         return vertices.select("id", F.lit(1.0).alias("result"))
     few = n <= BROADCAST_ROWS
     edges = (edges if few else edges.repartition("src")).persist()
-    state = cut(vertices.withColumn("result", F.lit(1.0 / n)))
+    state = held = cut(vertices.withColumn("result", F.lit(1.0 / n)))
     try:
         for _ in range(iterations):
             lost = state.filter("out_degree is null").agg(F.sum("result")).first()[0] or 0.0  # one number
@@ -62,7 +62,8 @@ def pagerank_normalized(graph: PropertyGraph, iterations: int = 100, tol: float
             rank = F.lit((1 - DAMPING + DAMPING * lost) / n) + F.lit(DAMPING) * F.coalesce("acc", F.lit(0.0))
             now = cut(state.join(got, "id", "left").select("id", "out_degree", rank.alias("result"), F.col("result").alias("before")))
             moved = now.agg(F.sum(F.abs(F.col("result") - F.col("before")))).first()[0]
-            state = now.drop("before")
+            forget(held)
+            held, state = now, now.drop("before")
             if tol is not None and moved < n * tol:
                 break
         return state.select("id", "result")

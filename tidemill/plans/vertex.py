@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
-from ..runtime import BROADCAST_ROWS, cut
+from ..runtime import BROADCAST_ROWS, cut, forget
 
 CUT_EVERY = 2  # iterations of a program whose state is read twice in each, which doubles the plan
 CUT_EVERY_LINEAR = 10
@@ -64,16 +64,18 @@ class VertexProgram:
         edges, parts = (graph.edges.withColumn("_part", F.lit(0)), None) if few else dealt(graph.edges, key)
         edges = (edges if few else edges.repartition(key, "_part")).persist()
         state = vertices.select("id", *fixed, *(c.alias(n) for n, c in self.init.items()), F.lit(True).alias("_changed"))
+        last = None
         every = CUT_EVERY if self.own_state else CUT_EVERY_LINEAR
         try:
             for turn in range(limit if iterations is None else iterations):
                 state = self.step(state, edges, vertices, fixed, few, key, parts)
-                if iterations is None:
-                    state = cut(state)
-                    if not state.filter("_changed").limit(1).count():
-                        break
-                elif turn % every == every - 1:
+                if iterations is None or turn % every == every - 1:
                     state = cut(state)
+                    if last is not None:
+                        forget(last)
+                    last = state
+                if iterations is None and not state.filter("_changed").limit(1).count():
+                    break
             else:
                 if iterations is None:
                     raise RuntimeError(f"no fixpoint in {limit} iterations")

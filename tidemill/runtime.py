@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a checkpoint folder that was set by hand.
+
+    Where there is none, a local master gets a folder of its own; on a cluster that is an error, since
+    each executor would write to its own disk.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = named or "file://" + tempfile.mkdtemp(prefix="tidemill-")
         context.setCheckpointDir(named)
     return named or current.get()
@@ -31,6 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder that Spark wrote, if it is there."""
+    context = spark.sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(context._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table that ``cut`` gave and that nothing will read again."""
+    found = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if found.isDefined():
+        delete(df.sparkSession, found.get())
+
+
 BROADCAST_ROWS = 200_000
 
 
