@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_path
+from ..runtime import cut, shared_path
 from .arrow import bound_batches
 from . import cotraining, hostrules, langid, licenses, mixing, packing, pii, simhash, topk, wavelet
 
@@ -23,8 +25,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
-    return cotraining.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+    made = cut(cotraining.features(docs))
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"), made=made)
+    return cotraining.score(made, model).withColumn("kept", F.col("score") >= 0.5)
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +84,28 @@ QUERIES = {
 }
 
 
+def _pattern(template: str) -> tuple[str, int]:
+    """A template as a regular expression over words that each end with a space, and its number of mandatory words; made without the operator's parser."""
+    plain = re.sub(r"<<var;max=([0-9]+)>>", r" #\1 ", template.lower().replace("<<beginoptional>>", " { ").replace("<<endoptional>>", " } "))
+    out, depth, must = "", 0, 0
+    for word in re.findall("#[0-9]+|[{}]|[0-9a-z]+", plain):
+        if word[0] == "#":
+            out += "(?:[^ ]+ ){0," + word[1:] + "}"
+        elif word in "{}":
+            out += "(?:" if word == "{" else ")?"
+            depth += 1 if word == "{" else -1
+        else:
+            out += word + " "
+            must += not depth
+    return out, must
+
+
 def _license_sql() -> str:
     joined = "' ' || array_to_string(w, ' ') || ' '"
     phrases = [(p.split(), label) for p, label in licenses.PHRASES.items()]
     at = " or ".join(f"w[i + 1 : i + {len(p)}] = {p!r}" for p, _ in phrases)
     base = ", ".join(f"case when contains(s, ' {' '.join(p)} ') then '{label}' end" for p, label in phrases)
-    rules = [(label, licenses.as_regex(t), len(licenses.Automaton.compile(label, t).mandatory)) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    rules = [(label, *_pattern(t)) for label, ts in licenses.TEMPLATES.items() for t in ts]
     own = ", ".join(f"case when regexp_matches(s, ' {r}') then '{label}' end" for label, r, _ in rules)
     best = [f"case when contains(s, ' {' '.join(p)} ') then {len(p)} else 0 end" for p, _ in phrases] + [f"case when regexp_matches(s, ' {r}') then {m} else 0 end" for _, r, m in rules]
     clean = "array_to_string(list_sort(list_distinct([x for x in [{}] if x is not null])), ',')"
