@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import components, cotraining, hostrules, langid, licenses, mixing, packing, simhash, topk, wavelet
+from tidemill.llm import hostrules, langid, licenses, mixing, packing, simhash, topk, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -53,20 +53,6 @@ def test_template_regions(text, ok):
     assert bool(re.search(" " + licenses.as_regex(template), " " + text + " ")) is ok
 
 
-def test_cotraining(spark, docs, none):
-    rng = np.random.default_rng(0)
-    rows = [(i, " ".join(rng.choice(["good", "fine", "prose"] if i % 2 else ["###", "$$$", "junk|"], 30)), "en", f"s{i % 2 if i % 5 else 3}", 100, 0.0, 0) for i in range(400)]
-    many = spark.createDataFrame(rows, SCHEMA)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200)] + [(None, 1), (1, None)], "doc_id long, quality int")
-    model = cotraining.fit(many, labels)
-    assert model.rounds and sum(map(sum, model.rounds)) > 0
-    got = cotraining.score(many, model).collect()
-    assert np.mean([(r.score > 0.5) == bool(r.doc_id % 2) for r in got if r.doc_id >= 200]) > 0.97
-    assert len(cotraining.score(docs, model).collect()) == len(ROWS) and cotraining.score(none, model).count() == 0
-    assert cotraining.fit(none, labels) is None
-    assert {r.score for r in cotraining.score(docs, None).collect()} == {0.5}
-
-
 def brute_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -120,8 +106,6 @@ def test_near_duplicates(spark, docs, none):
     got = [(r.id, r.component_id) for r in simhash.near_duplicates(docs, 3, 2).collect()]
     assert len(got) == len(ROWS) and (6, 6) in got and {(2, 2), (3, 2), (9, 2)} <= set(got)
     assert simhash.near_duplicates(none).count() == 0
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.node: r.root for r in components.stars(chain).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
 def test_top_k(spark):

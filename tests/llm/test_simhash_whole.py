@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemill.llm import components, queries, simhash
+from tidemill.llm import queries, simhash
+from tidemill.plans.components import stars
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,7 +53,7 @@ def test_tiles_lose_no_link(spark, budget, crowd):
     crowded = [one ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 12), replace=False)) for _ in range(crowd)]
     own = sorted({*values.tolist(), *near, *crowded})
     table = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in own], "fp long")
-    found = components.stars(simhash.links(table, budget, tile=8)).collect()
+    found = stars(simhash.links(table, budget, tile=8)).collect()
     root = {r.node: r.root for r in found}
     by_root, by_class = defaultdict(set), defaultdict(set)
     for v, c in zip(own, classes(own, budget)):

@@ -23,8 +23,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Windows are compared by their 64-bit XXH64. Each step is a projection of its own, so that
     nothing is computed twice and nothing within a function over an array is computed again for
-    each element.
+    each element. Columns of ``docs`` with these names, or with those of the steps between, are an error.
     """
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_flat", "_lines", "_windows", "_sorted", "_twice", "_placed", "_starts"}
+    if clash := own & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(clash)}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_flat", F.trim(F.regexp_replace(text, SPACE + "+", " ")))
     n = F.when(F.col("_flat") == "", 0).otherwise(F.length("_flat") - F.length(F.replace("_flat", F.lit(" "), F.lit(""))) + 1)

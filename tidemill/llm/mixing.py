@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +51,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None = None,
     columns that would clash with those of ``docs`` are an error: choose a ``prefix``.
     """
     added = [f"{prefix}{x}" for x in ("repeats", "copy", "shuffle_key")]
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"docs has columns {sorted(clash)}; choose a prefix")
+    if clash := (set(added) | {"_source", "_parts", "_sums"}) & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(clash)}; choose a prefix, or rename those with an underscore")
     rate = rates(docs, source_col, text_col, weights, temperature, total)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP).cast("int"))
     mean = F.col("_rate_of_part")
@@ -94,8 +92,3 @@ copies as (select *, unnest(range(1, cast(repeats as bigint) + 1)) as copy from
 select doc_id, text, lang, source, n_chars, cast(repeats as integer) as repeats, cast(copy as integer) as copy,
   md5('{seed}s:' || coalesce(cast(doc_id as varchar), '') || ':' || cast(copy as varchar)) as shuffle_key from copies
 """
-
-
-def expected_share_error(rate: float, n: int) -> float:
-    """The standard deviation of a source's share against its target, for n documents of equal length."""
-    return 1 / math.sqrt(max(1.0, rate * n))

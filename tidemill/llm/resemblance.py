@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..runtime import cut, small
 from .arrow import map_texts, release
-from .components import stars
+from ..plans.components import stars
 from .simhash import fingerprints_of, hashes, roots
 
 # A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS, at 0.8 under 3 in 100,000.

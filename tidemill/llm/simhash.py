@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..runtime import cut
 from .arrow import map_texts
-from .components import stars
+from ..plans.components import stars
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _LANES = np.zeros(256, np.uint64)
