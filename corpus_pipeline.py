@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import langid, mixing, packing, pii, resemblance
 from tidemill.llm.arrow import bound_batches
-from tidemill.runtime import shared_path
+from tidemill.runtime import delete, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.3
@@ -77,10 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``; each result is written to the shared folder and read again, and deleted once the next one stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         to = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(to)
         docs = spark.read.parquet(to)
+        if before is not None:
+            delete(spark, before)
+        before = to
     return docs
