@@ -6,9 +6,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill import cli
 from tidemill.operators import checks, matrix
+from tidemill.runtime import cut, forget, lookup, small
 from tidemill.sources import matrices, texts
 
 
@@ -149,3 +151,27 @@ def test_without_the_corpus_packages(tmp_path):
     (tmp_path / "r" / "corpus_pipeline.py").write_text("")
     done = subprocess.run([sys.executable, "-c", own], cwd=tmp_path, capture_output=True, text=True, timeout=100)
     assert "no_such_library" in done.stderr
+
+
+def test_lookup_splits_heavy_keys(spark):
+    """A table for broadcast, one with heavy keys, and one without give the same rows, a null key's too."""
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "h" if i % 2 else f"k{i}") for i in range(40)], "i long, k string")
+    table = cut(rows.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("n"), F.max("i").alias("top")))
+    want = sorted(map(str, lookup(rows, F.col("k"), table, "of", "n").collect()))
+    assert len(want) == 40
+    for heavy in (2, 1000):
+        assert sorted(map(str, lookup(rows, F.col("k"), table, "of", "n", most=3, heavy=heavy).collect())) == want
+
+
+def test_small_counts_before_it_broadcasts(spark):
+    own = cut(spark.range(10))
+    plans = [spark.range(100).join(small(own, n), "id")._jdf.queryExecution().logical().toString() for n in (9, 10)]
+    assert ["ResolvedHint" in p or "UnresolvedHint" in p for p in plans] == [False, True]
+
+
+def test_old_checkpoints_go(spark):
+    own = cut(spark.range(10))
+    folder = own._jdf.logicalPlan().rdd().getCheckpointFile().get()
+    assert own.count() == 10 and Path(folder.removeprefix("file:")).exists()
+    forget(own)
+    assert not Path(folder.removeprefix("file:")).exists()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,5 +62,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+HEAVY = 1_000_000
+
+
+def lookup(rows: DataFrame, key: Column, table: DataFrame, table_key: str, n: str, most: int = 20_000, heavy: int | None = None) -> DataFrame:
+    """Each row with the columns of its key's row in a table that was cut and has a row for each key, a null one too.
+
+    A table of at most ``most`` rows goes to the rows. Of a larger one only keys of over ``heavy`` rows
+    (column ``n`` has their number) do, of which there are at most as many as rows divided by it; the
+    others are joined by shuffling, and no task gets a key of more rows than that. ``n`` isn't returned.
+    """
+    heavy = HEAVY if heavy is None else heavy
+    same = key.eqNullSafe(F.col(table_key))
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table.drop(n)), same)
+    large = F.broadcast(table.filter(F.col(n) > heavy).drop(n))
+    light = rows.join(large, same, "left_anti").join(table.filter(F.col(n) <= heavy).drop(n).hint("shuffle_merge"), same)
+    return rows.join(large, same).select(light.columns).union(light)
+
+
 def ceil_div(n: int, size: int) -> int:
     return max(1, -(-int(n) // int(size)))
