@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, lookup
 
 STEP = 32.0  # a mean rate beyond this is drawn as a sum of equal parts
 TERMS = 128  # of each part's distribution; what lies beyond is below 1e-30
@@ -18,14 +18,14 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None, temperature: float, total: float | None) -> DataFrame:
-    """source, rate: the mean number of copies of each document of a source.
+    """source, n_docs, rate: the mean number of copies of each document of a source.
 
     ``weights`` are target shares of the characters, of the sources named; others get 0. Without
     them a source's share is its characters to the power ``temperature``. ``total`` is the target
     number of characters, by default as many as there are. A source without characters has rate 1.
     """
     chars = F.sum(F.coalesce(F.length(text_col), F.lit(0)))
-    held = docs.groupBy(F.col(source_col).alias("source")).agg(chars.cast("double").alias("chars"))
+    held = docs.groupBy(F.col(source_col).alias("source")).agg(chars.cast("double").alias("chars"), F.count("*").alias("n_docs"))
     if weights is None:
         power = F.sqrt("chars") if temperature == 0.5 else F.pow("chars", F.lit(temperature))
         shares = held.withColumn("weight", power)
@@ -37,7 +37,7 @@ def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, fl
     sums = shares.agg(F.sum("weight").alias("w"), F.sum("chars").alias("c")).first()
     goal = float(total if total is not None else sums["c"] or 0.0)
     rate = F.when(F.col("chars") == 0, 1.0).otherwise(F.lit(goal) * F.col("weight") / F.lit(float(sums["w"] or 1.0)) / F.col("chars"))
-    return shares.select("source", rate.alias("rate"))
+    return shares.select("source", "n_docs", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None = None,
     columns that would clash with those of ``docs`` are an error: choose a ``prefix``.
     """
     added = [f"{prefix}{x}" for x in ("repeats", "copy", "shuffle_key")]
-    if clash := (set(added) | {"_source", "_parts", "_sums"}) & set(docs.columns):
+    if clash := (set(added) | {"_source", "_parts", "_sums", "n_docs"}) & set(docs.columns):
         raise ValueError(f"docs has columns {sorted(clash)}; choose a prefix, or rename those with an underscore")
     rate = rates(docs, source_col, text_col, weights, temperature, total)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP).cast("int"))
@@ -62,13 +62,12 @@ def mix(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None = None,
         lambda a, k: F.struct((a["p"] * mean / k).alias("p"), F.array_append(a["sums"], F.element_at(a["sums"], -1) + a["p"] * mean / k).alias("sums")),
     )["sums"]
     table = rate.withColumn("_parts", parts).withColumn("_rate_of_part", F.col("rate") / F.col("_parts")).withColumn("_sums", term)
-    table = table.select(F.col("source").alias("_source"), "_parts", "_sums")
-    if table.count() <= BROADCAST_SOURCES:  # at most so many rows of TERMS numbers
-        table = F.broadcast(table)
+    table = cut(table.select(F.col("source").alias("_source"), "_parts", "_sums", "n_docs"))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    draw = lambda j: F.size(F.filter("_sums", lambda s: s <= uniform(F.lit(str(seed)), name, j.cast("string"))))
-    repeats = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, j: a + draw(j))
+    drawn = lookup(docs, F.col(source_col), table, "_source", "n_docs", BROADCAST_SOURCES)
+    # the draws are an array of their own, so that none is made again for each sum it is compared with
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(F.lit(str(seed)), name, j.cast("string")))
+    repeats = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("_sums", lambda s: s <= u)))
     copies = drawn.withColumn(added[0], repeats).filter(F.col(added[0]) > 0)
     copies = copies.withColumn(added[1], F.explode(F.sequence(F.lit(1), F.col(added[0])))).drop("_source", "_parts", "_sums")
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), name, F.col(added[1]).cast("string")))
