@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, lookup
 
 FEW = 64  # repeated windows up to which a list is searched; beyond, windows are sorted with their places
 BROADCAST_HOSTS = 50_000
@@ -101,10 +101,8 @@ def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", tex
     for rule in rules().values():
         failed = failed | rule
     rows = cut(rows.withColumn("failed", failed))
-    hosts = verdicts(rows).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"), "host_ok")
-    if hosts.count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-    joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
+    hosts = cut(verdicts(rows).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"), "host_ok", "n_docs"))
+    joined = lookup(rows, F.col("host"), hosts, "_host", "n_docs", BROADCAST_HOSTS)
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("_host", "host_ok", "failed")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.asarray(x, np.int64) for x in column.to_pylist()]
+    """The vectors as views of the column's own numbers."""
+    own = column.combine_chunks()
+    values, ends = own.flatten().to_numpy(), np.cumsum(pc.list_value_length(own).to_numpy())
+    return np.split(values, ends[:-1]) if len(ends) else []
 
 
 def single(ids: list[int], rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -68,7 +72,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     A component x becomes floor(scale * x). Vectors that are null or hold null or non-finite
     components, and rows with a null id, take no part. Every other id is a candidate of every query
     of the same number of components; ties go to the smaller id. Rows of equal id count once, with
-    the smallest vector. Empty vectors score 0 with each other. An empty table gives no rows.
+    the smallest vector. Empty vectors score 0 with each other. An empty table gives no rows. Ids
+    are whole numbers; a vector whose squared length is 2**62 or more raises, so that no sum of
+    64-bit integers can overflow.
 
     Both sides are cut into blocks by a hash of the id; a task gets one block of each, so its
     memory is bounded at any size; candidates move once for each block of queries, queries once for
@@ -78,7 +84,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     clean = F.forall(F.col("x"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter("id is not null and x is not null").filter(clean)
-    rows = rows.select("id", "asks", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("w"))
+    length = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.floor(v * scale).cast("double") * F.floor(v * scale).cast("double"))
+    whole = F.transform("x", lambda v: F.floor(v * scale).cast("long"))
+    rows = rows.select("id", "asks", F.when(length < 2.0**62, whole).otherwise(F.raise_error(F.lit("a vector is too long")).cast("array<bigint>")).alias("w"))
     n, asking = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     blocks, query_blocks = ceil_div(n, block), ceil_div(asking, query_block)
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ceil_div
+from .arrow import release, slices
 from .tokens import tokenizer
 
 MAGIC = b"WMTX0001"
@@ -203,7 +204,8 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
     Ranges of ids of about ``shard_docs`` documents go to one task each, which begins a new file
     where one has ``shard_tokens`` ids, so that a task holds one file's ids. File names depend on
     the range only and a file gets its name once it is whole: a task that runs again writes the
-    same files. Rows of equal id keep together in an order by their text; a null id stands first;
+    same files. Ids are whole numbers (others raise, as does -2**63).
+    Rows of equal id stand in an order by a hash of their text and may fill several files; a null id stands first;
     a null text is empty. ``to`` must be a folder that all executors share (any scheme that
     pyarrow's file systems open).
     """
@@ -238,20 +240,21 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, (pa.string(), *[pa.int64()] * 4), strict=True)], names=schema.fieldNames())
 
-        for batch in batches:
-            some, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(some), 1024):
-                for name, ids in zip(some[at : at + 1024], tokenizer(path, STORE).encode(texts.slice(at, 1024)), strict=True):
-                    names.append(name)
-                    held.append(ids + end)
-                    n_held += len(ids) // 4 + 1
-                    if n_held >= shard_tokens:
-                        yield flush()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            for name, ids in zip(batch.column(0).to_pylist(), tokenizer(path, STORE).encode(batch.column(1)), strict=True):
+                names.append(name)
+                held.append(ids + end)
+                n_held += len(ids) // 4 + 1
+                if n_held >= shard_tokens:
+                    yield flush()
         if names:
             yield flush()
+        release()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text").mapInArrow(work, schema)
+    own = F.col(id_col).cast("long")
+    usable = F.when(own == _NULL_ID, F.raise_error(F.lit(f"{_NULL_ID} can't be an id")).cast("long")).otherwise(own)
+    rows = docs.select(usable.alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    return rows.repartitionByRange(ranges, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text").mapInArrow(work, schema)
 
 
 _NULL_ID = -(2**63)
