@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import ceil_div
 from .arrow import release, slices
-from .tokens import tokenizer
+from .tokens import SLICE_BYTES, tokenizer
 
 SHARD_BITS = 36
 
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = 1024, id_col: st
     out, end = to_arrow_schema(schema), int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             encoded = tokenizer(path).encode(batch.column(1))
             rows: list[list] = [[] for _ in schema]
             for name, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
