@@ -26,7 +26,7 @@ BANDS, ROWS = 20, 4
 _SALTS, _ODD = np.random.default_rng(64).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _ODD |= np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-FINGERPRINT_BITS = 3  # between fingerprints that are first candidates
+FINGERPRINT_BITS = 2  # between fingerprints that are first candidates
 TILE = 1_000_000  # shingles of a part of a group; a task holds two parts
 
 

@@ -191,7 +191,7 @@ def _bits(value: Column, order: list[int]) -> Column:
     return sum(own, F.lit(0).cast("long"))
 
 
-def links(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
+def links(distinct: DataFrame, budget: int, tile: int = 1 << 19) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints (column fp) which chains of links connect.
 
     Bits go from the evenest down, so that the trie branches early. Fingerprints are dealt by their
@@ -253,7 +253,7 @@ def links(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
     return tiles.groupBy("low", "high", "low_sub", "high_sub").applyInArrow(join, "a long, b long")
 
 
-def roots(distinct: DataFrame, budget: int, tile: int = 131_072) -> DataFrame:
+def roots(distinct: DataFrame, budget: int, tile: int = 1 << 19) -> DataFrame:
     """(node, root) of every distinct fingerprint (column fp) that chains of links connect to another."""
     return stars(links(distinct, budget, tile))
 
