@@ -27,6 +27,6 @@ def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small, "a")
-        before, now = now, cut(joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small).distinct())
+        before, now = now, cut(joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small).distinct(), mark[0])
         forget(before)
     raise RuntimeError(f"components not found in {rounds} rounds")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_A_FILE, LEAST_FILES = 50_000, 8
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a checkpoint folder that was set by hand.
 
@@ -31,10 +34,14 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: written to the shared folder, so that a lost executor loses nothing."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows with their lineage cut: written to the shared folder, so that a lost executor loses nothing.
+
+    Where there are known to be about ``rows`` narrow ones at most, they go to a file for each
+    ``ROWS_A_FILE`` of them (and ``LEAST_FILES`` at least), however many partitions they come from.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, ceil_div(rows, ROWS_A_FILE)))).checkpoint(eager=True)
 
 
 def delete(spark: SparkSession, path: str) -> None:
