@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 _UNSET = "987654321"  # a value that no one sets
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows or about 4 MB in this session, and 512 rows in a Parquet reader's, unless it sets these itself.
+    """Arrow batches of at most 1,000 rows or about 2 MB in this session, and 512 rows in a Parquet reader's, unless it sets these itself.
 
     A batch stands in the JVM's buffers, in the pipe and in the Python worker at once, and rows are
     whole texts, of which 4,096 take 16 MB or more of the JVM's heap in one piece. Spark reads the settings when a plan runs, so that only a program that owns its
@@ -50,6 +50,18 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = 2_000_000) -> Itera
     yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches together, as soon as they hold ``limit`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(text_at).nbytes for b in held) >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _given(texts: pa.Array, kind: str):
     return texts if kind == "array" else (texts.cast(pa.binary()) if kind == "bytes" else texts).to_pylist()
 

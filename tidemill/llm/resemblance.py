@@ -109,10 +109,10 @@ def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def sets_of(rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def sets_of(rows: DataFrame, members: DataFrame, width: int, n: int) -> DataFrame:
     """(node, shingles) of each member (id, node): the set of the text of one row of it."""
     mine = members.select(F.col("id").alias("of_id"), F.col("node").alias("of")).distinct()
-    wanted = rows.join(small(cut(mine)), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("node") == F.col("of")), "left_semi")
+    wanted = rows.join(small(cut(mine, n)), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("node") == F.col("of")), "left_semi")
     as_set = lambda: lambda texts: [[shingles(t, width).tobytes() for t in texts]]
     found = map_texts(wanted, "text", ["node"], T.StructType([T.StructField("shingles", T.BinaryType())]), as_set, kind="bytes")
     return found.dropDuplicates(["node"])
@@ -155,25 +155,25 @@ def by_tile(rows: DataFrame, tile: list[str], edges: Callable[[list[tuple[bytes,
     return dealt.mapInArrow(work, "a binary, b binary")
 
 
-def close_copies(rows: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
+def close_copies(rows: DataFrame, nodes: DataFrame, width: int, least: float, n: int) -> DataFrame:
     """Edges from the members of a group of linked fingerprints to its first member, where they are similar.
 
     Each member is compared once. Groups beyond ``TILE`` shingles are dealt in parts, each of which gets the first member too.
     """
     known = nodes.filter("size > 0")
-    linked_fps = roots(cut(known.select("fp").distinct()), FINGERPRINT_BITS).withColumnRenamed("node", "of")
+    linked_fps = roots(cut(known.select("fp").distinct(), n), FINGERPRINT_BITS).withColumnRenamed("node", "of")
     held = known.join(linked_fps, F.col("fp") == F.col("of"), "left").select(F.coalesce("root", "fp").alias("key"), F.col("first_id").alias("id"), "node", "size")
     groups = held.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("first")).filter("n > 1")
-    members = cut(held.join(small(cut(groups)), "key"))
+    members = cut(held.join(small(cut(groups, n)), "key"), n)
     parts = F.ceil(F.col("total") / TILE)
     is_first = F.col("node") == F.col("first")
     where = F.when(is_first, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64(F.lit(3), "node"), parts)))
     dealt = members.select("key", F.explode(where).alias("part"), "node", is_first.cast("int").alias("leads"))
-    sets = sets_of(rows, members, width)
+    sets = sets_of(rows, members, width, n)
     return by_tile(dealt.join(sets, "node"), ["key", "part"], lambda own: [(own[1][0], own[0][0])] if similar(own[0][1], own[1][1], least) else [], "leads")
 
 
-def band_links(rows: DataFrame, nodes: DataFrame, copies: DataFrame, width: int, least: float) -> DataFrame:
+def band_links(rows: DataFrame, nodes: DataFrame, copies: DataFrame, width: int, least: float, n: int) -> DataFrame:
     """Edges of nodes that share a band, such that chains of them and of ``copies`` connect all similar nodes that share one.
 
     Groups whose members are all connected by ``copies`` have nothing to add. Groups of equal
@@ -181,19 +181,19 @@ def band_links(rows: DataFrame, nodes: DataFrame, copies: DataFrame, width: int,
     """
     of = copies.select(F.col("a").alias("of"), F.col("b").alias("first"))
     held = nodes.filter("size > 0").join(small(of), F.col("node") == F.col("of"), "left").select(F.col("first_id").alias("id"), "node", "size", "bands", F.xxhash64(F.coalesce("first", "node")).alias("class"))
-    held = cut(held)
+    held = cut(held, n)
     keys = held.select(F.explode("bands").alias("key"), "class").groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    open_keys = cut(keys.filter("low <> high").select("key"))
-    members = cut(held.select(F.explode("bands").alias("key"), "id", "node", "size").join(small(open_keys), "key"))
+    open_keys = cut(keys.filter("low <> high").select("key"), n)
+    members = cut(held.select(F.explode("bands").alias("key"), "id", "node", "size").join(small(open_keys), "key"), n)
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"m{k}") for k in (1, 2)]
     groups = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *marks)
     groups = groups.groupBy("m1", "m2", "n").agg(F.min("key").alias("key"), F.max("total").alias("total")).select("key", "total")
-    members = cut(members.join(small(cut(groups)), "key"))
+    members = cut(members.join(small(cut(groups, n)), "key"), n)
     parts = F.ceil(F.col("total") / TILE)
     dealt = members.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     tile = ["key", "low", "high"]
     dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node")
-    sets = sets_of(rows, members, width)
+    sets = sets_of(rows, members, width, n)
     return by_tile(dealt.join(sets, "node"), tile, lambda own: [(own[i][0], own[j][0]) for i, j in linked([s for _, s in own], least)])
 
 
@@ -201,10 +201,11 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "d
     """(id, node) of every row, and (node, root) of every node that is linked to another."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("node", node(F.col("text")))
     own = cut(map_texts(rows, "text", ["id", "node"], SIGNED, lambda: signer(width), kind="bytes"))
-    nodes = cut(own.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in SIGNED.fieldNames())))
-    copies = cut(close_copies(rows, nodes, width, least))
-    links = band_links(rows, nodes, copies, width, least)
-    return own.select("id", "node"), cut(stars(copies.union(links)))
+    n = own.count()
+    nodes = cut(own.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in SIGNED.fieldNames())), n)
+    copies = cut(close_copies(rows, nodes, width, least, n))
+    links = band_links(rows, nodes, copies, width, least, n)
+    return own.select("id", "node"), cut(stars(copies.union(links)), n)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,14 +232,15 @@ def without_repeats(docs: DataFrame, width: int = 5, least: float = 0.8, id_col:
     if clash := {"_node", "_of", "_id"} & set(docs.columns):
         raise ValueError(f"docs has columns {sorted(clash)}")
     own, linked_nodes = groups(docs, width, least, id_col, text_col)
+    n = own.count()
     pairs = own.groupBy("id", "node").agg(F.count("*").alias("n"))
     held = pairs.join(small(linked_nodes.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left").select("id", "node", "n", F.coalesce("root", "node").alias("root"))
-    held = cut(held)
+    held = cut(held, n)
     first = held.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"), F.count("*").alias("members"), F.sum("n").alias("rows"))
-    first = cut(first.filter("rows > 1"))
+    first = cut(first.filter("rows > 1"), n)
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
-    extra = cut(held.join(small(first.filter("members > 1")), "root").filter(~is_first).select(F.col("id").alias("_id"), F.col("node").alias("_of")))
-    again = cut(held.filter("n > 1").join(small(first), "root").filter(is_first).select(F.col("id").alias("_id"), F.col("node").alias("_of")))
+    extra = cut(held.join(small(first.filter("members > 1")), "root").filter(~is_first).select(F.col("id").alias("_id"), F.col("node").alias("_of")), n)
+    again = cut(held.filter("n > 1").join(small(first), "root").filter(is_first).select(F.col("id").alias("_id"), F.col("node").alias("_of")), n)
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of"))
     rows = docs.withColumn("_node", node(F.col(text_col))).join(small(extra), same, "left_anti")
     if not again.limit(1).count():

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ceil_div
-from .arrow import release, slices
+from .arrow import gathered, release, slices
 from .tokens import SLICE_BYTES, tokenizer
 
 MAGIC = b"WMTX0001"
@@ -240,7 +240,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, id_col: str = "doc_i
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, (pa.string(), *[pa.int64()] * 4), strict=True)], names=schema.fieldNames())
 
-        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
+        for batch in (part for whole in gathered(batches, 1, SLICE_BYTES) for part in slices(whole, 1, SLICE_BYTES)):
             for name, ids in zip(batch.column(0).to_pylist(), tokenizer(path, STORE).encode(batch.column(1)), strict=True):
                 names.append(name)
                 held.append(ids + end)
