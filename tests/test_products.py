@@ -65,3 +65,21 @@ def test_rounding_is_that_of_sql(spark):
     v = [0.5e-6, 1.5e-6, -2.5e-6, 0.1234565, -1 / 3, 0.0, -1e-9, 4e9 + 0.1234565, 1e300, -1e300, math.inf, None, math.nan]
     rows = spark.createDataFrame([(x,) for x in v], "v double").select("v", catalogue._six(F.col("v")).alias("own"), (F.round("v", 6) + 0.0).alias("want")).collect()
     assert all(r.own == r.want or r.want is not None and math.isnan(r.want) and math.isnan(r.own) for r in rows), rows
+
+
+def test_two_products_side_by_side(spark):
+    values = np.arange(90 * 8, dtype=float).reshape(90, 8) % 5 - 2
+    ids = [i if i < 80 else i * 10**12 for i in range(90)]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, values)], "row_id long, values array<double>")
+    own = matrix.cells(rows)
+    lacking = own.filter("i <> 7").unionByName(spark.createDataFrame([(500, 0, 2.0)], CELL))
+    both = matrix.side_by_side(rows, rows, lambda a, b: a @ b.T, lacking, matrix.transpose(own), 10)
+    found = both.collect()
+    got, dense = {(r.i, r.j): (r.left_v, r.right_v) for r in found}, values @ values.T
+    want = {(i, j): (dense[m, n], None if i == 7 else dense[m, n]) for m, i in enumerate(ids) for n, j in enumerate(ids)} | {(500, j): (None, 2.0 * values[n, 0]) for n, j in enumerate(ids)}
+    assert len(found) == len(got) and got == want
+
+
+def test_matrix_equal_shuffles_no_cell(spark):
+    rows = catalogue.QUERIES["matrix_equal"](spark, "/root/testdata/sf0.001")
+    assert "CartesianProduct" in plan_of(rows) and "HashAggregate(keys=[i#" not in plan_of(rows)
