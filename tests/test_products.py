@@ -83,3 +83,36 @@ def test_two_products_side_by_side(spark):
 def test_matrix_equal_shuffles_no_cell(spark):
     rows = catalogue.QUERIES["matrix_equal"](spark, "/root/testdata/sf0.001")
     assert "CartesianProduct" in plan_of(rows) and "HashAggregate(keys=[i#" not in plan_of(rows)
+
+
+def shuffled(spark, df):
+    """Records that the exchanges of a plan wrote, once it ran."""
+    df.write.format("noop").mode("overwrite").save()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+        if kind.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        metric = plan.metrics().get("shuffleRecordsWritten") if kind == "ShuffleExchangeExec" else None
+        found += metric.get().value() if metric is not None and metric.isDefined() else 0
+    return found
+
+
+@pytest.mark.parametrize("size, mirrored", [(37, False), (100, True), (512, True)])
+def test_blocks_shuffle_each_row_once_for_a_side(spark, size, mirrored):
+    values = np.arange(600 * 4, dtype=float).reshape(600, 4) % 11 - 5
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(values)], "row_id long, values array<double>")
+    got = matrix.block_product(rows, rows, lambda a, b: a @ b.T, size, mirrored)
+    own = {(r.i, r.j): r.v for r in got.collect()}
+    assert got.count() == 600 * 600 == len(own) and all(own[i, j] == v for (i, j), v in np.ndenumerate(values @ values.T))
+    assert 0 < shuffled(spark, got) <= 2 * 600
+
+
+def test_rows_of_different_lengths_raise(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0, 4.0])], "row_id long, values array<double>")
+    with pytest.raises(Exception, match="one length"):
+        matrix.gram(rows).collect()
