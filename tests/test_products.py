@@ -116,3 +116,8 @@ def test_rows_of_different_lengths_raise(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0, 4.0])], "row_id long, values array<double>")
     with pytest.raises(Exception, match="one length"):
         matrix.gram(rows).collect()
+
+
+def test_gram_upper_mirrored_shuffles_its_input(spark):
+    got = catalogue.QUERIES["gram_upper_mirrored"](spark, "/root/testdata/sf0.001")
+    assert 0 < shuffled(spark, got) <= 2 * 500
