@@ -121,3 +121,9 @@ def test_rows_of_different_lengths_raise(spark):
 def test_gram_upper_mirrored_shuffles_its_input(spark):
     got = catalogue.QUERIES["gram_upper_mirrored"](spark, "/root/testdata/sf0.001")
     assert 0 < shuffled(spark, got) <= 2 * 500
+
+
+def test_gram_full_shuffles_its_input(spark):
+    wide = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(1500)], "row_id long, values array<double>")
+    got = catalogue._rounded(matrix.gram(wide))
+    assert 0 < shuffled(spark, got) <= 2 * 1500
