@@ -127,3 +127,15 @@ def test_gram_full_shuffles_its_input(spark):
     wide = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(1500)], "row_id long, values array<double>")
     got = catalogue._rounded(matrix.gram(wide))
     assert 0 < shuffled(spark, got) <= 2 * 1500
+
+
+def test_whole_rows_shuffle_no_cell(spark, monkeypatch):
+    values = np.arange(300 * 4, dtype=float).reshape(300, 4) % 11 - 5
+    ids = [i if i < 290 else i * 10**12 for i in range(300)]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, values)], "row_id long, values array<double>")
+    for whole, size in ((1 << 23, 512), (3000, 64)):  # all rows of a side at once, and 10
+        monkeypatch.setattr(matrix, "WHOLE", whole)
+        got = matrix.product_rows(rows, rows, lambda a, b: a @ b.T, size)
+        found = got.collect()
+        assert len(found) == 300 and {r.row_id: r["values"] for r in found} == dict(zip(ids, (values @ values.T).tolist()))
+    assert 0 < shuffled(spark, catalogue.QUERIES["gram_rows"](spark, "/root/testdata/sf0.001")) <= 2 * 500
