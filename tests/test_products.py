@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,25 @@ def test_gram_full_shuffles_its_input(spark):
     assert 0 < shuffled(spark, got) <= 2 * 1500
 
 
+def bytes_a_cell(df, folder):
+    """Of its Parquet files, which have Spark's own codec."""
+    df.write.option("compression", "snappy").parquet(str(folder))
+    files = [pq.ParquetFile(f).metadata for f in folder.glob("*.parquet")]
+    return sum(m.row_group(k).column(c).total_compressed_size for m in files for k in range(m.num_row_groups) for c in range(3)) / sum(m.num_rows for m in files)
+
+
+def test_gram_upper_mirrored_takes_little_more_than_one_order(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_upper_mirrored"](spark, "/root/testdata/sf0.1"), tmp_path / "cells") < 6
+
+
+@pytest.mark.parametrize("rows, size", [(70, 33), (150, 100)])
+def test_mirrored_runs_have_each_cell_once(spark, rows, size):
+    values = np.arange(rows * 3, dtype=float).reshape(rows, 3) % 13 - 6
+    got = matrix.block_product(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(values)], "row_id long, values array<double>").coalesce(1), None, lambda a, b: a @ b.T, size, mirrored=True)
+    found = [(r.i, r.j, r.v) for r in got.collect()]
+    assert sorted(found) == [(i, j, v) for (i, j), v in np.ndenumerate(values @ values.T)]
+
+
 def test_whole_rows_shuffle_no_cell(spark, monkeypatch):
     values = np.arange(300 * 4, dtype=float).reshape(300, 4) % 11 - 5
     ids = [i if i < 290 else i * 10**12 for i in range(300)]
