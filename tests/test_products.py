@@ -141,6 +141,10 @@ def test_gram_upper_mirrored_takes_little_more_than_one_order(spark, tmp_path):
     assert bytes_a_cell(catalogue.QUERIES["gram_upper_mirrored"](spark, "/root/testdata/sf0.1"), tmp_path / "cells") < 6
 
 
+def test_gram_full_takes_little_more_than_one_order(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_full"](spark, "/root/testdata/sf0.1"), tmp_path / "cells") < 6
+
+
 @pytest.mark.parametrize("rows, size", [(70, 33), (150, 100)])
 def test_mirrored_runs_have_each_cell_once(spark, rows, size):
     values = np.arange(rows * 3, dtype=float).reshape(rows, 3) % 13 - 6
