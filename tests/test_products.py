@@ -163,3 +163,31 @@ def test_whole_rows_shuffle_no_cell(spark, monkeypatch):
         found = got.collect()
         assert len(found) == 300 and {r.row_id: r["values"] for r in found} == dict(zip(ids, (values @ values.T).tolist()))
     assert 0 < shuffled(spark, catalogue.QUERIES["gram_rows"](spark, "/root/testdata/sf0.001")) <= 2 * 500
+
+
+@pytest.mark.parametrize("share", [1, 0.8])
+def test_products_by_coordinates_in_both_orders(spark, monkeypatch, share):
+    monkeypatch.setattr(matrix, "ROWS", 100)
+    chance = random.Random(5)
+    a = [(i * 10**10, k, float(chance.randrange(-3, 4))) for i in range(330) for k in range(5) if chance.random() < share]
+    b = [(k, i, chance.choice([v, -1.0, None] if share < 1 else [v, 2.0])) for i, k, v in a]
+    got = matrix.multiply(spark.createDataFrame(a, CELL), spark.createDataFrame(b, CELL))
+    assert "CartesianProduct" in plan_of(got)
+    found = got.collect()
+    want = plain_product(a, b)
+    assert len(found) == len(want) and {(r.i, r.j): r.v for r in found} == want
+
+
+def test_gram_coo_takes_little_more_than_one_order(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_coo"](spark, "/root/testdata/sf0.1"), tmp_path / "cells") < 6
+
+
+def test_gram_coo_has_its_numbers_in_dictionaries(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_coo"](spark, "/root/testdata/sf0.1").coalesce(1), tmp_path / "cells") < 3
+
+
+def test_sessions_keep_their_own_dictionaries(spark):
+    other = spark.newSession()
+    other.conf.set(catalogue.DICTIONARY, "4096")
+    catalogue.QUERIES["gram_coo"](other, "/root/testdata/sf0.001")
+    assert other.conf.get(catalogue.DICTIONARY) == "4096"
