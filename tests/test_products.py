@@ -191,3 +191,21 @@ def test_sessions_keep_their_own_dictionaries(spark):
     other.conf.set(catalogue.DICTIONARY, "4096")
     catalogue.QUERIES["gram_coo"](other, "/root/testdata/sf0.001")
     assert other.conf.get(catalogue.DICTIONARY) == "4096"
+
+
+@pytest.mark.parametrize("size", [37, 512])
+def test_a_table_with_itself_has_each_cell_once_without_symmetry(spark, size):
+    values = np.arange(1100 * 3, dtype=float).reshape(1100, 3) % 13 - 6
+    ids = [i if i < 1090 else i * 10**12 for i in range(1100)]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, values)], "row_id long, values array<double>")
+    found = matrix.block_product(rows, rows, lambda a, b: a @ b.T + 1000 * a[:, :1] - b[:, 2], size).collect()
+    want = values @ values.T + 1000 * values[:, :1] - values[:, 2]
+    assert len(found) == want.size and {(r.i, r.j): r.v for r in found} == {(ids[m], ids[n]): v for (m, n), v in np.ndenumerate(want)}
+
+
+def test_gram_ragged_blocks_takes_little_more_than_one_order(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_ragged_blocks"](spark, "/root/testdata/sf0.1"), tmp_path / "cells") < 6
+
+
+def test_gram_ragged_blocks_has_its_numbers_in_dictionaries(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_ragged_blocks"](spark, "/root/testdata/sf0.1").coalesce(1), tmp_path / "cells") < 3
