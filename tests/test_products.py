@@ -213,3 +213,7 @@ def test_gram_ragged_blocks_has_its_numbers_in_dictionaries(spark, tmp_path):
 
 def test_gram_upper_mirrored_has_its_numbers_in_dictionaries(spark, tmp_path):
     assert bytes_a_cell(catalogue.QUERIES["gram_upper_mirrored"](spark, "/root/testdata/sf0.1").coalesce(1), tmp_path / "cells") < 3
+
+
+def test_gram_full_has_its_numbers_in_dictionaries(spark, tmp_path):
+    assert bytes_a_cell(catalogue.QUERIES["gram_full"](spark, "/root/testdata/sf0.1").coalesce(1), tmp_path / "cells") < 3
